@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of one Arrow batch and rows of it: bounds what a Python worker holds besides one longest row.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2048
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 256
 #: Text that one block of a blocked operator stands for.
 BLOCK_TEXT = 4 << 20
 MIN_BLOCKS, MAX_BLOCKS = 64, 1 << 20
