@@ -149,5 +149,5 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def doc_hash(column: str = "doc_id"):
-    """CRC-32 of the id as decimal text: the key of the folds."""
-    return F.crc32(F.col(column).cast("string"))
+    """CRC-32 of the id as decimal text (null: of the empty text): the key of the folds."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

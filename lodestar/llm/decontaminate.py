@@ -206,20 +206,24 @@ def seed_hashes(a: np.ndarray, q: int) -> np.ndarray:
 
 def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, edits, ends (in the normalised text): a row for each document and item it holds."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-2 * size // s.item_bytes) if size > s.item_bytes else 1)
+    arrow_limits(docs.sparkSession)
     out = None
-    for block in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        listed = [(r["item_id"], (r["text"] or "").encode()) for r in own.collect()]
+    for listed in _blocks(items, s):
         found = _search(docs, listed, s)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _blocks(items: DataFrame, s: Settings) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items in lists of about item_bytes at most."""
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0)).alias("n")).first()["n"]
+    blocks = -(-2 * size // s.item_bytes) if size > s.item_bytes else 1
+    for block in range(blocks):
+        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block)
+        yield [(r["item_id"], (r["text"] or "").encode()) for r in own.collect()]
+
+
 def _search(docs: DataFrame, listed: list[tuple[int | None, bytes]], s: Settings) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(listed)  # at most about item_bytes
 
@@ -233,3 +237,24 @@ def _search(docs: DataFrame, listed: list[tuple[int | None, bytes]], s: Settings
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "edits", "ends"])
 
     return texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, ends long")
+
+
+def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no item; one pass for each block of items, no join."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    place = docs.columns.index("text")
+    for listed in _blocks(items, s):
+        shared = spark.sparkContext.broadcast(listed)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, s)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for rows, values in grouped(list(range(b.num_rows)), utf8(b.column(place)), 1 << 20):
+                    for k, *_ in index.leaks(values):
+                        keep[rows[k]] = False
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

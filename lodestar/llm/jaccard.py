@@ -370,3 +370,10 @@ def join(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: i
     least = told.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = told.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY) -> DataFrame:
+    """The rows of docs whose id is the least of their component, of repeated rows of an id one; rows without id stay."""
+    ids = join(docs, words, t).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
+    found = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return found.unionByName(docs.where(F.col("doc_id").isNull()))

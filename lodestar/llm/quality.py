@@ -127,3 +127,22 @@ def quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.types, strict=True)] if rows else [pa.array([], t) for t in COLUMNS.types], schema=COLUMNS)
 
     return texts(docs).mapInArrow(judge, DDL)
+
+
+def kept(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """The rows of docs, all columns as they are, that are kept; one pass, no join."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            keep = []
+            for text in utf8(batch.column(place)):
+                n, _, _, _, rep = base_counts(text)
+                good = n >= bands.min_words and 100 * rep <= 50 * n
+                keep.append(good and in_bands(len(text), *ratios(text, bands, packer), bands))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

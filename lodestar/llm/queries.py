@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, quality, suffix_dedup, token_counts, urls
+from . import bpe, decontaminate, jaccard, language, pii, pitman_yor, quality, suffix_dedup, token_counts, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +50,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_byte_bpe, op5_url_filters, op7_token_counts, op8_decontamination, op9_language_id)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_ngram_jaccard,
+        op3_suffix_dedup,
+        op4_byte_bpe,
+        op5_url_filters,
+        op6_pii,
+        op7_token_counts,
+        op8_decontamination,
+        op9_language_id,
+        op10_lm_scoring,
+    )
+}
 #: None of the ten can be put in SQL as a whole (compressors, tokenizers, trained models); the tests hold them against brute force.
 ORACLES: dict[str, str] = {}
