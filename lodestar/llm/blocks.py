@@ -12,6 +12,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 MESSAGE = "block int, payload binary"
 _SCHEMA = pa.schema([("block", pa.int32()), ("payload", pa.binary())])
 
@@ -51,6 +53,7 @@ def messages(pairs: Iterator[tuple[int, bytes]], most: int = 8 << 20) -> Iterato
         if size >= most or len(blocks) >= 4096:
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(payloads, pa.binary())], schema=_SCHEMA)
             blocks, payloads, size = [], [], 0
+            trim()
     if blocks:
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(payloads, pa.binary())], schema=_SCHEMA)
 
@@ -64,10 +67,12 @@ def by_block(df: DataFrame, work: Callable[[list[bytes]], Iterator[pa.RecordBatc
                 if block != now and held:
                     yield from work(held)
                     held = []
+                    trim()
                 now = block
                 held.append(payload)
         if held:
             yield from work(held)
+        trim()
 
     return df.repartition("block").sortWithinPartitions("block").mapInArrow(run, ddl)
 
@@ -77,3 +82,25 @@ def split_by(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(block, kind="stable")
     found, first = np.unique(block[order], return_index=True)
     return order, found, np.append(first, len(block))
+
+
+def pieces(sizes: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches [a, b) of items whose sizes add up to about step."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+        yield a, b
+        a = b
+
+
+def gather(buf: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of buf at begin, one after the other; index arrays stay small."""
+    out, at = np.empty(int(sizes.sum()), buf.dtype), 0
+    for a, b in pieces(sizes):
+        n = sizes[a:b]
+        own = np.repeat(begin[a:b] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        own += np.arange(len(own))
+        out[at : at + len(own)] = buf[own]
+        at += len(own)
+    return out

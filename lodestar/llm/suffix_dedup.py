@@ -7,7 +7,7 @@ drop out.  For the rest, each run of windows with one minimiser travels with its
 starts.  Inside a block the documents come in batches in order of their ids: a batch gets its suffix array (sorted by
 the first ``length`` bytes), which is merge-scanned against the arrays of the levels before it for long matches and
 then becomes a level; levels of equal size merge, so a suffix is merged a logarithmic number of times.  A run whose
-bytes stand in the index as a whole is matched without sorting it again.
+bytes came before as a whole is matched as one, and one whose minimiser no other bytes share needs no sorting.
 
 Defined results: null and empty texts have 0 bytes and the hash of the empty string; texts under ``length`` bytes keep
 all; documents with the same id don't remove from each other, and each row is judged by its own text; a null id counts as
@@ -25,14 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, by_block, messages, pack, split_by, unpack
-from .common import BYTE_VALUES, arrow_limits, block_count, cut, mix, release, utf8
+from .blocks import MESSAGE, by_block, gather, messages, pack, pieces, split_by, unpack
+from .common import BYTE_VALUES, arrow_limits, block_count, cut, mix, release, trim, utf8
 
 LENGTH, GRAM = 50, 16
 #: Bytes hashed at once; longer texts are taken in overlapping slices, each window in exactly one.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Text after which a task sends its messages.
 FLUSH = 24 << 20
+#: Bytes of runs after which it does.
+FLUSH_RUNS = 8 << 20
 LAST = 2**63 - 1
 
 
@@ -41,7 +43,12 @@ def gram_hashes(buf: np.ndarray, gram: int = GRAM) -> np.ndarray:
     n = len(buf) - gram + 1
     if gram == 16 and n > 0:
         words = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes(), strides=(1,))
-        return mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[8 : 8 + n]))
+        h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+        h += words[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return h
     h = np.zeros(max(0, n), np.uint64)
     for k in range(gram):
         h = h * np.uint64(0x100000001B3) + BYTE_VALUES[buf[k : k + n]]
@@ -62,18 +69,21 @@ def runs(buf: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int =
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     least = np.minimum(low[:n], low[width - span : width - span + n])
-    sizes = np.diff(bounds)
-    text = np.repeat(np.arange(len(sizes)), sizes)[:n]
-    ok = np.arange(n) + length <= np.repeat(bounds[1:], sizes)[:n]
-    at = np.flatnonzero(ok)
-    if not len(at):
+    new = np.ones(n, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    # Windows stop length - 1 bytes before their text does; the first of each text starts a run.
+    limits = bounds[1:] - length + 1
+    new[bounds[:-1][bounds[:-1] < n]] = True
+    for a, b in zip(np.maximum(limits, bounds[:-1]).tolist(), bounds[1:].tolist(), strict=True):
+        new[a:b] = False
+    start = np.flatnonzero(new)
+    if not len(start):
         return none
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
-    first = np.flatnonzero(new)
-    start = at[first]
-    count = np.diff(np.append(first, len(at)))
-    return text[start], start, count, h[(least[start] & np.uint64(0xFFFFFF)).astype(np.int64)]
+    text = np.searchsorted(bounds, start, "right") - 1
+    ends = limits[text]
+    same = text[1:] == text[:-1]
+    ends[:-1][same] = start[1:][same]
+    return text, start, ends - start, h[(least[start] & np.uint64(0xFFFFFF)).astype(np.int64)]
 
 
 def slices(values: list[bytes], length: int = LENGTH, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
@@ -141,6 +151,7 @@ def _anchors(keyed: DataFrame, blocks: int, length: int) -> DataFrame:
                     if size > FLUSH and ids:
                         yield from flush()
                         ids, hashes, size = [], [], 0
+                        trim()
             if ids:
                 yield from flush()
 
@@ -183,10 +194,14 @@ def _contexts(joined: DataFrame, blocks: int, length: int) -> DataFrame:
 
         def flush():
             cols = [np.concatenate(c) for c in zip(*meta, strict=True)]
+            raw = np.concatenate(bodies)
+            each = cols[3].astype(np.int64) + length - 1
+            begin = np.concatenate(([0], np.cumsum(each)[:-1]))
             order, found, first = split_by((cols[4] % np.uint64(blocks)).astype(np.int64))
             for b, x, y in zip(found.tolist(), first, first[1:], strict=False):
                 o = order[x:y]
-                yield b, pack(*(c[o] for c in cols), b"".join([bodies[j] for j in o.tolist()]))
+                m = each[o]
+                yield b, pack(*(c[o] for c in cols), gather(raw, begin[o], m).tobytes())
 
         def pairs():
             nonlocal meta, bodies, size
@@ -206,13 +221,13 @@ def _contexts(joined: DataFrame, blocks: int, length: int) -> DataFrame:
                     if not len(h):
                         continue
                     meta.append((keys[own], th[own], s - bounds[t] + np.array(offset)[t], n.astype(np.uint8), h))
-                    raw = buf.tobytes()
-                    new = [raw[a : a + c + length - 1] for a, c in zip(s.tolist(), n.tolist(), strict=True)]
-                    bodies.extend(new)
-                    size += sum(map(len, new))
-                    if size > FLUSH:
+                    each = n + length - 1
+                    bodies.append(gather(buf, s, each))
+                    size += len(bodies[-1])
+                    if size > FLUSH_RUNS:
                         yield from flush()
                         meta, bodies, size = [], [], 0
+                        trim()
             if meta:
                 yield from flush()
 
@@ -243,59 +258,72 @@ class Family:
         self.levels.append(suffixes)
 
 
-def suffix_array(bodies: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of the bodies that start a window, sorted by their first length bytes: the bytes, body, place in it."""
-    buf = np.frombuffer(b"".join(bodies), np.uint8)
-    begin = np.concatenate(([0], np.cumsum([len(b) for b in bodies])[:-1]))
-    body = np.repeat(np.arange(len(bodies)), counts)
-    place = np.arange(len(body)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    rows = np.lib.stride_tricks.sliding_window_view(buf, length)[begin[body] + place]
+def suffix_array(buf: np.ndarray, begin: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of the runs at begin that start a window, sorted by their first length bytes: the bytes, run, place in it."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(run)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+    rows = np.lib.stride_tricks.sliding_window_view(buf, length)[begin[run] + place]
     keys = np.ascontiguousarray(rows).view(f"S{length}").ravel()  # all of equal length, so padding can't make two equal
     order = np.argsort(keys, kind="stable")
-    return keys[order], body[order], place[order]
-
-
-def matches(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, bodies: list[bytes], length: int = LENGTH, batch: int = 4096) -> list[np.ndarray]:
-    """For each run (in order of id), which of its windows also start in a document with a smaller id."""
-    family, index, found = Family(length), {}, [None] * len(bodies)
-    a = 0
-    while a < len(bodies):
-        b = min(len(bodies), a + batch)
-        while b < len(bodies) and keys[b] == keys[b - 1]:
+    return keys[order], run[order], place[order]
+
+
+def run_classes(buf: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each run the first that has the same bytes (itself, if none has before it)."""
+    n = len(sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    digest = np.empty(n, np.uint64)
+    for a, b in pieces(sizes):
+        start = begin[a:b] - begin[a]
+        place = np.arange(int(sizes[a:b].sum())) - np.repeat(start, sizes[a:b])
+        digest[a:b] = mix(np.add.reduceat(BYTE_VALUES[buf[begin[a] : begin[a] + len(place)]] * powers[place], start))
+    order = np.lexsort((np.arange(n), digest, sizes))
+    new = np.ones(n, bool)
+    new[1:] = (digest[order[1:]] != digest[order[:-1]]) | (sizes[order[1:]] != sizes[order[:-1]])
+    first = np.empty(n, np.int64)
+    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    # The bytes decide: what only shares a digest stands alone.
+    later = np.flatnonzero(first != np.arange(n))
+    if len(later):
+        each = sizes[later]
+        equal = gather(buf, begin[later], each) == gather(buf, begin[first[later]], each)
+        wrong = ~np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(each)[:-1])))
+        first[later[wrong]] = later[wrong]
+    return first
+
+
+def matches(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, buf: np.ndarray, length: int = LENGTH, batch: int = 4096) -> np.ndarray:
+    """Of all windows of the runs (in order of id, their bytes one after the other in buf): whether it also starts in a document with a smaller id."""
+    sizes = counts + length - 1
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    edge = np.concatenate(([0], np.cumsum(counts)))
+    first = run_classes(buf, sizes, begin)
+    # Of each class of equal runs the first goes into the index, if another class has its minimiser.
+    alone = np.flatnonzero(first == np.arange(len(keys)))
+    _, at, many = np.unique(hashes[alone], return_inverse=True, return_counts=True)
+    contested = alone[many[at] > 1]
+    flat = np.zeros(int(edge[-1]), bool)
+    family, a = Family(length), 0
+    while a < len(contested):
+        b = min(len(contested), a + batch)
+        while b < len(contested) and keys[contested[b]] == keys[contested[b - 1]]:
             b += 1  # a document's runs stay in one batch
-        fresh: list[int] = []
-        mine: dict[bytes, int] = {}
-        for j in range(a, b):
-            first = index.get(bodies[j])
-            if first is None:
-                first = mine.setdefault(bodies[j], j)
-                if first == j:
-                    fresh.append(j)
-            if keys[first] < keys[j]:
-                found[j] = np.ones(counts[j], bool)
-        if fresh:
-            own = [bodies[j] for j in fresh]
-            n = counts[fresh]
-            suffixes, body, place = suffix_array(own, n, length)
-            older = family.scan(suffixes)
-            new = np.ones(len(suffixes), bool)
-            new[1:] = suffixes[1:] != suffixes[:-1]
-            group = np.cumsum(new) - 1
-            who = keys[np.array(fresh)][body]
-            least = np.minimum.reduceat(who, np.flatnonzero(new))[group]
-            older |= least < who
-            flat = np.zeros(int(n.sum()), bool)
-            edge = np.concatenate(([0], np.cumsum(n)))
-            flat[edge[body] + place] = older
-            for k, j in enumerate(fresh):
-                found[j] = flat[edge[k] : edge[k + 1]]
-            family.add(suffixes[new])
-        for j in range(a, b):
-            if found[j] is None:  # the same run of the same id stands before it
-                found[j] = found[mine[bodies[j]]] if bodies[j] in mine else found[index[bodies[j]]]
-        index.update(mine)
+        own = contested[a:b]
+        suffixes, body, place = suffix_array(buf, begin[own], counts[own], length)
+        older = family.scan(suffixes)
+        new = np.ones(len(suffixes), bool)
+        new[1:] = suffixes[1:] != suffixes[:-1]
+        who = keys[own][body]
+        least = np.minimum.reduceat(who, np.flatnonzero(new))[np.cumsum(new) - 1]
+        flat[edge[own][body] + place] = older | (least < who)
+        family.add(suffixes[new])
         a = b
-    return found
+    # The others: matched as a whole by an older equal run, or, of the same id, as the first of them.
+    later = np.flatnonzero(first != np.arange(len(keys)))
+    each = counts[later]
+    at = np.arange(int(each.sum())) - np.repeat(np.concatenate(([0], np.cumsum(each)[:-1])), each)
+    flat[np.repeat(edge[later], each) + at] = flat[np.repeat(edge[first[later]], each) + at] | np.repeat(keys[first[later]] < keys[later], each)
+    return flat
 
 
 def _matched(length: int):
@@ -303,15 +331,14 @@ def _matched(length: int):
         parts = [unpack(p) for p in payloads]
         keys, th, start, n = (np.concatenate([p[c] for p in parts]) for c in range(4))
         n = n.astype(np.int64)
-        bodies: list[bytes] = []
-        for p in parts:
-            ends = np.cumsum(p[3].astype(np.int64) + length - 1)
-            raw = p[5]
-            bodies += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        h = np.concatenate([p[4] for p in parts])
+        raw = np.concatenate([np.frombuffer(p[5], np.uint8) for p in parts])
         order = np.lexsort((start, th, keys))
+        sizes = (n + length - 1)[order]
+        begin = np.concatenate(([0], np.cumsum(n + length - 1)[:-1]))[order]
+        raw = gather(raw, begin, sizes)
         keys, th, start, n = keys[order], th[order], start[order], n[order]
-        found = matches(keys, start, n, [bodies[j] for j in order.tolist()], length)
-        total = np.concatenate(found)
+        total = matches(keys, n, h[order], raw, length)
         text = np.repeat(np.arange(len(n)), n)
         at = start[text] + np.arange(len(total)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
         text, at = text[total], at[total]
