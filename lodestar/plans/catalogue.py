@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as names
-from ..operators import graph, incremental, render, retrieval, symbols
+from ..operators import embedding, graph, incremental, parse, render, resolve, retrieval, symbols
 from ..sources import ignore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,3 +521,69 @@ def q41_search(spark, sf_dir):
     from .search import search_tables
 
     return search_tables(spark, sf_dir, QUERY)
+
+
+# ---------------------------------------------------------------- parsing and resolution
+
+
+def _sources(spark, sf_dir, template: str) -> DataFrame:
+    """A Python file for each part, with its key and size put in."""
+    p = table(spark, sf_dir, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    return p.select(F.concat(F.lit("lib/p"), key, F.lit(".py")).alias("path"), F.replace(F.replace(F.lit(template), F.lit("KEY"), key), F.lit("SIZE"), size).alias("content"))
+
+
+@query("""SELECT 'lib.p' || p_partkey || '.C' || p_size || '.run' AS id, 'Helper' || p_size || ',len,x.__len__,h.step,self.done,self.done.forward' AS calls, 'Helper' || p_size AS type_of_h, '@iter:xs' AS source_of_x, 'Base' || p_size AS bases, 2 AS line FROM part""")
+def q43_parse(spark, sf_dir):
+    files = _sources(spark, sf_dir, "class CSIZE(BaseSIZE):\n    def run(self, xs):\n        h = HelperSIZE()\n        for x in xs:\n            h.step(len(x))\n        return self.done(h)\n")
+    rows = parse.parsed(files)
+    f, c = F.col("functions")[0], F.col("classes")[0]
+    return rows.select(f["id"].alias("id"), F.array_join(f["calls"], ",").alias("calls"), f["var_types"]["h"][0].alias("type_of_h"), f["var_sources"]["x"].alias("source_of_x"), c["superclasses"][0].alias("bases"), f["start_line"].alias("line"))
+
+
+@query("""SELECT 'lib.p' || p_partkey || '.f' || p_partkey AS id, 'lib.p' || p_partkey || '.g' || p_partkey || ',lib.p' || p_partkey || '.K' || p_partkey || '.only_' || p_partkey || ',lib.p' || p_partkey || '.K' || p_partkey || '.__init__' AS calls FROM part
+    UNION ALL SELECT 'lib.p' || p_partkey || '.g' || p_partkey, '' FROM part UNION ALL SELECT 'lib.p' || p_partkey || '.K' || p_partkey || '.only_' || p_partkey, 'lib.p' || p_partkey || '.K' || p_partkey || '.__init__' FROM part
+    UNION ALL SELECT 'lib.p' || p_partkey || '.K' || p_partkey || '.__init__', 'lib.p' || p_partkey || '.g' || p_partkey FROM part""")
+def q44_resolve(spark, sf_dir):
+    files = _sources(spark, sf_dir, "def fKEY(a):\n    gKEY()\n    a.b.only_KEY()\n    KKEY()\n\ndef gKEY():\n    pass\n\nclass KKEY:\n    def __init__(self):\n        gKEY()\n    def only_KEY(self):\n        self.__init__()\n")
+    rows = parse.parsed(files)
+    none = spark.createDataFrame([], "export_key string, real_path string")
+    sub = symbols.sub_paths(files.select(names.module_of(F.col("path")).alias("module")))
+    done = resolve.resolved(parse.functions_of(rows), parse.classes_of(rows), parse.known_imports(parse.imports_of(rows), sub), none)
+    return done.select("id", F.array_join("calls", ",").alias("calls"))
+
+
+@query("""SELECT 'pkg' || p_partkey || '.b' || p_size AS export_key, 'pkg' || p_partkey || '.m' || p_size || '.a' AS real_path FROM part UNION ALL SELECT 'pkg' || p_partkey || '.c', 'pkg' || p_partkey || '.m' || p_size || '.c' FROM part""")
+def q45_package_exports(spark, sf_dir):
+    files = _sources(spark, sf_dir, "from .mSIZE import (a as bSIZE,  # kept\n    c)\nfrom ..up import d\n")
+    return symbols.package_exports(files.withColumn("path", F.regexp_replace("path", r"^lib/p(\d+)\.py$", r"pkg$1/__init__.py")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'r.' || source || '.u' WHEN doc_id % 4 = 1 THEN 'r.u' WHEN doc_id % 4 = 2 THEN 'r' END AS target FROM documents""")
+def q46_relative_imports(spark, sf_dir):
+    i = F.col("doc_id") % 4
+    text = F.when(i == 0, ".u").when(i == 1, "..u").when(i == 2, "..").otherwise(".....u")
+    return table(spark, sf_dir, "documents").select("doc_id", symbols.relative_module(text, F.concat(F.lit("r."), "source", F.lit("."), "lang")).alias("target"))
+
+
+@query()
+def q47_merged_chains(spark, sf_dir):
+    rows, calls = _chain_rows(spark, sf_dir)
+    return graph.merge(rows, calls, 0.3)
+
+
+@query()
+def q48_topological(spark, sf_dir):
+    rows, calls = _chain_rows(spark, sf_dir)
+    return graph.topological(rows, calls)
+
+
+@query()
+def q49_embedding(spark, sf_dir):
+    return embedding.embedded(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), embedding.HashEmbedder())
+
+
+@query(f"""WITH w AS (SELECT list_distinct(string_split('{QUERY.lower()}', ' ')) AS ws), d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ts FROM documents)
+    SELECT id, round(len(list_intersect(ws, ts))::DOUBLE / len(ws), 4) AS similarity FROM d, w""")
+def q50_rerank(spark, sf_dir):
+    return embedding.reranked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")), QUERY)
