@@ -6,7 +6,8 @@ the tables of every dish are drawn anew given the other tables of the restaurant
 child's tables are the parent's customers.  Scores are the predictive probabilities averaged over sampled seatings.
 
 Contexts are dealt to blocks by hash; contexts that hold a noticeable share of all tokens (a bounded list, found by a
-mergeable summary of all words) are dealt by (context, word), and their totals are summed over the blocks.  One pass over the whole
+mergeable summary of all words) are dealt by (context, word), and their totals are summed over the blocks.  Pairs that
+hold such a share themselves are scored where their tokens lie, by a list of the same bound.  One pass over the whole
 corpus sends the counted pairs to the blocks, which seat them and tell the word blocks their tables; those seat the
 parent and answer with its state for just the words asked about.  A second pass sends the tokens of all documents to
 the blocks, which seat the restaurants again under the parent, and add up each document's log probabilities.
@@ -22,7 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, by_block, messages, pack, split_by, unpack
-from .common import MAX_BLOCKS, MIN_BLOCKS, arrow_limits, cut, doc_hash, doc_words, grouped, mix, release, utf8
+from .common import MAX_BLOCKS, MIN_BLOCKS, arrow_limits, cut, doc_hash, doc_words, grouped, mix, release, trim, utf8
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3ED7AB)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -141,6 +142,7 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         if size > FLUSH_TEXT:
             yield out()
             parts, size = [], 0
+            trim()
     if parts:
         yield out()
 
@@ -157,8 +159,8 @@ def _tokens(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(us), dishes48(np.concatenate(ws)), np.concatenate(ds)
 
 
-def hot_contexts(rows: DataFrame, blocks: int) -> np.ndarray:
-    """Contexts with more than an eighth of a block's share of all tokens: at most 8 * blocks, and at most HOT."""
+def hot_contexts(rows: DataFrame, blocks: int) -> tuple[np.ndarray, int]:
+    """Contexts with more than an eighth of a block's share of all tokens (at most 8 * blocks, and at most HOT), and the number of tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for b in batches:
@@ -179,7 +181,20 @@ def hot_contexts(rows: DataFrame, blocks: int) -> np.ndarray:
     sums = rows.select("text").mapInArrow(run, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.desc("total"), F.desc("n"), "h").limit(HOT + 1).collect()
     total = sum(r["n"] for r in top if r["total"])
-    return np.sort(np.array([r["h"] for r in top if not r["total"] and r["n"] * 8 * blocks > total], np.int64).view(np.uint64))
+    return np.sort(np.array([r["h"] for r in top if not r["total"] and r["n"] * 8 * blocks > total], np.int64).view(np.uint64)), int(total)
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u ^ mix(w + np.uint64(1)))
+
+
+def among(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted wanted ones, and where those stand there."""
+    if not len(wanted):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values, at
 
 
 def _counted(rows: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
@@ -227,7 +242,7 @@ def _rng(s: Settings, u: np.ndarray, w: np.ndarray) -> np.random.Generator:
     return np.random.default_rng([s.seed, int((u[:1].sum() ^ w[-1:].sum()) & LOW48), len(u)])
 
 
-def _first_seating(blocks: int, hot: np.ndarray, s: Settings):
+def _first_seating(blocks: int, hot: np.ndarray, least: int, s: Settings):
     """Seats a block's counted pairs under the block's own word shares and tells the word blocks the tables."""
     def work(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(p) for p in payloads]
@@ -250,7 +265,8 @@ def _first_seating(blocks: int, hot: np.ndarray, s: Settings):
         single = ~np.isin(u[begin], hot) if len(hot) else np.ones(len(begin), bool)
         real = single & (u[begin] != BEGIN) & (taught > 0)
         loose = ~single
-        stats = pack(np.array([1], np.int64), np.array([n.sum(), real.sum(), (n == 1).sum(), (n == 2).sum()], np.int64), u[begin][loose], taught[loose].astype(np.int64), np.add.reduceat(t, begin)[loose].astype(np.int64))
+        often = np.flatnonzero(n > least)  # pairs with a share of all tokens that no block should have to itself
+        stats = pack(np.array([1], np.int64), np.array([n.sum(), real.sum(), (n == 1).sum(), (n == 2).sum()], np.int64), u[begin][loose], taught[loose].astype(np.int64), np.add.reduceat(t, begin)[loose].astype(np.int64), u[often], w[often], n[often], t[often])
         order, found, first = split_by((mix(words) % np.uint64(blocks)).astype(np.int64))
 
         def out():
@@ -299,12 +315,31 @@ def _parent(blocks: int, s: Settings):
     return work
 
 
-def _token_messages(rows: DataFrame, blocks: int, hot: np.ndarray) -> DataFrame:
-    """Second pass: messages of the tokens: contexts, tokens of each, their dishes and texts, and the texts' keys."""
+def _token_messages(rows: DataFrame, blocks: int, state: State) -> DataFrame:
+    """Second pass: messages of the tokens: contexts, tokens of each, their dishes and texts, and the texts' keys.
+
+    Tokens of frequent pairs are scored where they lie, since their state is known; only sums of texts go on, by text.
+    """
+    hot = state.hot
+    def sums(key, th, u, w, d, at):
+        texts, to = np.unique(d, return_inverse=True)
+        known = state.hot_customers[among(u, hot)[1]]
+        k, is_word = len(texts), u != BEGIN
+        cols = [np.bincount(to, state.pair_scores[at], k), np.bincount(to, np.where(is_word, np.log10(known + 1), 0), k), np.bincount(to, is_word & (known > 0), k), np.bincount(to, minlength=k), np.bincount(to, w == dishes48(np.array([END]))[0], k)]
+        block = (mix(key[texts].view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order, found, first = split_by(block)
+        for b, x, y in zip(found.tolist(), first, first[1:], strict=False):
+            o = order[x:y]
+            yield b, pack(np.array([4], np.int64), key[texts[o]], th[texts[o]], *(c[o].astype(np.float64) for c in cols))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             for key, th, held, values in _flushes(batches):
                 u, w, d = _tokens(values)
+                often, at = among(pair_key(u, w), state.pairs)
+                if often.any():
+                    yield from sums(key, th, u[often], w[often], d[often], at[often])
+                    u, w, d = u[~often], w[~often], d[~often]
                 order, found, first = split_by(block_of(u, w, blocks, hot))
                 for b, x, y in zip(found.tolist(), first, first[1:], strict=False):
                     o = order[x:y]
@@ -330,6 +365,14 @@ class State:
     hot: np.ndarray
     hot_customers: np.ndarray
     hot_tables: np.ndarray
+    pairs: np.ndarray  # keys of the frequent pairs, sorted
+    pair_scores: np.ndarray  # their log10 probabilities
+
+
+def _sum_batches(texts: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, texts.shape[1], 1 << 15):
+        z = slice(a, a + (1 << 15))
+        yield pa.RecordBatch.from_arrays([pa.array(texts[0][z], pa.int64()), pa.array(texts[1][z].astype(np.int32), pa.int32()), *(pa.array(v[z].astype(ty.to_pandas_dtype()), ty) for v, ty in zip(cols, (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["key", "th", "score", "lb", "known", "tokens", "ends"])
 
 
 def _scored(state: State, s: Settings):
@@ -337,6 +380,9 @@ def _scored(state: State, s: Settings):
         parts = [unpack(p) for p in payloads]
         told = [p for p in parts if p[0][0] == 0]
         sent = [p for p in parts if p[0][0] == 3]
+        for p in parts:
+            if p[0][0] == 4:
+                yield from _sum_batches(np.stack((p[1], p[2].astype(np.int64))), p[3:])
         if not sent:
             return
         u = np.concatenate([np.repeat(p[1], p[2]) for p in sent])
@@ -363,8 +409,7 @@ def _scored(state: State, s: Settings):
             at = np.searchsorted(words, tw)
             at[at == len(words)] = 0
             num = np.where(words[at] == tw, weight[at], 0.0)
-        even = 1 / (state.known + 1)
-        p = (num + (s.parent_strength + state.parent_free) * even) / (s.parent_strength + state.parent_customers)
+        p = parent_probability(num, state, s)
         # The restaurants; hot ones have parts elsewhere.
         who, begin = _restaurants(tu)
         names = tu[begin]
@@ -399,9 +444,7 @@ def _scored(state: State, s: Settings):
         to = to.ravel()[text]
         k = texts.shape[1]
         cols = [np.bincount(to, score[kind], k), np.bincount(to, lb[kind], k), np.bincount(to, (is_word & (c > 0))[kind], k).astype(np.int64), np.bincount(to, minlength=k), np.bincount(to, w == dishes48(np.array([END]))[0], k).astype(np.int64)]
-        for a in range(0, k, 1 << 15):
-            z = slice(a, a + (1 << 15))
-            yield pa.RecordBatch.from_arrays([pa.array(texts[0][z], pa.int64()), pa.array(texts[1][z].astype(np.int32), pa.int32()), *(pa.array(v[z], ty) for v, ty in zip(cols, (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["key", "th", "score", "lb", "known", "tokens", "ends"])
+        yield from _sum_batches(texts, cols)
 
     return work
 
@@ -414,13 +457,14 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     light = rows.select("key", "th", "held").groupBy("key", "th", "held").agg(F.count(F.lit(1)).alias("rows"))
     size, taught = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()
     blocks = int(min(MAX_BLOCKS, max(MIN_BLOCKS, size // BLOCK_TEXT)))
-    hot = hot_contexts(rows, blocks)
+    hot, total = hot_contexts(rows, blocks)
+    least = max(total // (8 * blocks), total // HOT)
     release(spark)
-    asked = by_block(_counted(rows, blocks, hot), _first_seating(blocks, hot, s), MESSAGE)
+    asked = by_block(_counted(rows, blocks, hot), _first_seating(blocks, hot, least, s), MESSAGE)
     told = cut(by_block(asked, _parent(blocks, s), MESSAGE))
     release(spark)
-    state = _state(told.where("block < 0"), taught, hot)
-    sums = by_block(_token_messages(rows, blocks, hot).unionByName(told.where("block >= 0")), _scored(state, s), "key long, th int, score double, lb double, known long, tokens long, ends long")
+    state = _state(told, taught, hot, blocks, s)
+    sums = by_block(_token_messages(rows, blocks, state).unionByName(told.where("block >= 0")), _scored(state, s), "key long, th int, score double, lb double, known long, tokens long, ends long")
     sums = sums.groupBy("key", "th").agg(*(F.sum(c).alias(c) for c in ("score", "lb", "known", "tokens", "ends")))
     # Each row has one end, so ends tell how often the row came.
     end_lb = float(np.log10(taught + 1))
@@ -439,12 +483,13 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
 
-def _state(stats: DataFrame, taught: int, hot: np.ndarray) -> State:
-    """Adds up the blocks' statistics: four numbers a block, and the totals of hot contexts."""
+def _state(told: DataFrame, taught: int, hot: np.ndarray, blocks: int, s: Settings) -> State:
+    """Adds up the blocks' statistics: a few numbers a block, the totals of hot contexts, and the frequent pairs."""
     tokens = known = n1 = n2 = 0
     customers, tables = np.zeros(len(hot)), np.zeros(len(hot))
     c1 = dt = 0.0
-    for r in stats.toLocalIterator():
+    often = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0)]]
+    for r in told.where("block < 0").toLocalIterator():
         p = unpack(bytes(r["payload"]))
         if p[0][0] == 2:
             c1, dt = c1 + p[1][0], dt + p[1][1]
@@ -455,5 +500,37 @@ def _state(stats: DataFrame, taught: int, hot: np.ndarray) -> State:
             at = np.searchsorted(hot, p[2])
             np.add.at(customers, at, p[3])
             np.add.at(tables, at, p[4])
+        for x, y in zip(often, p[5:], strict=True):
+            x.append(y)
     known += int(((customers > 0) & (hot != BEGIN)).sum()) + (1 if taught else 0)
-    return State(int(tokens), int(known), discount(n1, n2), c1, dt, hot, customers, tables)
+    u, w, n, t = (np.concatenate(x) for x in often)
+    is_hot, at = among(u, hot)  # a frequent pair's context is one; only then its totals are at hand
+    u, w, n, t, at = u[is_hot], w[is_hot], n[is_hot], t[is_hot], at[is_hot]
+    state = State(int(tokens), int(known), discount(n1, n2), c1, dt, hot, customers, tables, np.empty(0, np.uint64), np.empty(0))
+    if not len(u):
+        return state
+    weights = _weights_of(told, np.unique(block_of(u, w, blocks, hot)), np.unique(w))
+    p = parent_probability(np.array([weights.get(int(x), 0.0) for x in w]), state, s)
+    seated = (np.maximum(n - state.d * t, 0) + (s.strength + state.d * tables[at]) * p) / (s.strength + customers[at])
+    keys = pair_key(u, w)
+    o = np.argsort(keys)
+    return replace(state, pairs=keys[o], pair_scores=np.log10(seated)[o])
+
+
+def parent_probability(weight: np.ndarray, state: State, s: Settings) -> np.ndarray:
+    even = 1 / (state.known + 1)
+    return (weight + (s.parent_strength + state.parent_free) * even) / (s.parent_strength + state.parent_customers)
+
+
+def _weights_of(told: DataFrame, blocks: np.ndarray, words: np.ndarray) -> dict[int, float]:
+    """The parent's weights of a few words, out of the answers to the blocks that asked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column(0).to_pylist():
+                p = unpack(payload)
+                w = unsix(p[1])
+                mine = among(w, words)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(w[mine].astype(np.int64), pa.int64()), pa.array(p[2][mine].astype(np.float64), pa.float64())], names=["w", "weight"])
+
+    rows = told.where(F.col("block").isin(blocks.tolist())).select("payload").mapInArrow(run, "w long, weight double").groupBy("w").agg(F.max("weight").alias("weight"))
+    return {r["w"]: r["weight"] for r in rows.collect()}
