@@ -2,8 +2,8 @@
 
 Texts up to ``chunk`` characters are encoded where they lie.  A longer text is cut into overlapping chunks that are
 dealt over the cluster: each is split into pre-tokens on its own, neighbours are stitched at the first place inside
-their overlap where both have a boundary (the pattern never looks back, so from a common boundary on both splits are
-the same), and the pieces between those places are encoded apart.  Where an overlap holds no common boundary the
+their overlap where both have a boundary after something other than white space (the pattern never looks back, so from
+a common boundary on both splits are the same, and it looks ahead only from white space), and the pieces between those places are encoded apart.  Where an overlap holds no common boundary the
 piece runs on to the next chunk that has one, so every piece is a whole number of pre-tokens of the text.
 Decoding concatenates the raw bytes of the ids.
 
@@ -45,12 +45,21 @@ def decode(ids: list[int], enc: tiktoken.Encoding) -> bytes:
     return enc.decode_bytes(ids)
 
 
+#: The encoder counts these as marks, the regular expressions here as white space: looked at as another mark.
+SEPARATORS = {c: "\x01" for c in range(0x1C, 0x20)}
+
+
 def boundaries(text: str, pattern: regex.Pattern, last: bool) -> list[int]:
     """Starts of the pre-tokens of a chunk that its end can't have changed."""
-    spans = [m.start() for m in pattern.finditer(text)]
+    spans = [m.start() for m in pattern.finditer(text.translate(SEPARATORS))]
     return spans if last else spans[:-2]
 
 
+def cuttable(text: str, at: int) -> bool:
+    """Whether a text may end here: white space splits by what follows it, so it must not be what the piece ends with."""
+    return at > 0 and not text[at - 1].isspace()
+
+
 def cut_points(text: str, pattern: str, chunk: int, overlap: int) -> list[int]:
     """Where a text is cut: the chunks' stitching done in one place (small texts, tests)."""
     compiled = regex.compile(pattern)
@@ -61,7 +70,7 @@ def cut_points(text: str, pattern: str, chunk: int, overlap: int) -> list[int]:
         edges.append({s + x for x in boundaries(text[s:e], compiled, e == len(text))})
     points, truth = [0], edges[0]
     for s, own in zip(starts[1:], edges[1:], strict=True):
-        common = [x for x in truth & own if s <= x < s + overlap]
+        common = [x for x in truth & own if s <= x < s + overlap and cuttable(text, x)]
         if common:
             points.append(min(common))
             truth = own
@@ -114,7 +123,7 @@ def _pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> dict[str
             for s, t, last in zip(b.column("start").to_pylist(), b.column("text").to_pylist(), b.column("last").to_pylist(), strict=True):
                 own = boundaries(t, pat, last)
                 head.append([s + x for x in own if x < overlap])
-                tail.append([s + x for x in own if x >= chunk])
+                tail.append([s + x for x in own if x >= chunk and cuttable(t, x)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=[*b.schema.names, "head", "tail"])
 
     done = rows.mapInArrow(split, chunk_ddl + ", head array<long>, tail array<long>")

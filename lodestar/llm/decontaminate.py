@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, grouped, mix, texts, utf8
+from .common import arrow_limits, grouped, mix, texts, trim, utf8
 
 #: Window sizes: an item is embedded over the largest that fits it.
 CLASSES = (16, 32, 64, 128, 256)
+#: Bytes of text that are searched at once.
+TOGETHER = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -109,6 +111,7 @@ class Index:
         self.owners = [pieces[int(h)] for h in self.seeds]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
+        self.grams = [[t[k : k + 4] for k in range(len(t) - 3)] for _, t in self.items]
         self.tables = {}
         for m in self.samples:
             own = np.flatnonzero(self.cls == m)
@@ -163,6 +166,11 @@ class Index:
                     found.update((int(j), int(where[k])) for j in own[lo[k] : hi[k]])
         return found
 
+    def may_hold(self, item: int, part: bytes, most: int) -> bool:
+        """Whether part has enough of the item's 4-grams: an edit takes away four at most."""
+        have = {part[k : k + 4] for k in range(len(part) - 3)}
+        return sum(g in have for g in self.grams[item]) >= len(self.grams[item]) - 4 * most
+
     def leaks(self, values: list[bytes]) -> Iterator[tuple[int, int | None, int, int]]:
         """(number of the text, item id, edits, end in the normalised text): the best place of each item in each text."""
         plain = [normal(v) for v in values]
@@ -181,7 +189,7 @@ class Index:
             part = plain[k][a : start - int(begin[k]) + len(text) + 2 * most]
             if part.find(text) >= 0:
                 n, end = 0, part.find(text) + len(text)
-            elif most:
+            elif most and self.may_hold(item, part, most):
                 n, end = edits(text, part)
             else:
                 continue
@@ -229,16 +237,32 @@ def _search(docs: DataFrame, listed: list[tuple[int | None, bytes]], s: Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, s)
-        for b in batches:
+        for held in _held(batches, 1):
+            ids = [i for b, _ in held for i in b.column(0).to_pylist()]
             rows = []
-            for ids, values in grouped(b.column(0).to_pylist(), utf8(b.column(1)), 1 << 20):
-                rows += [(ids[k], *rest) for k, *rest in index.leaks(values)]
+            for own, values in grouped(ids, [v for _, values in held for v in values], TOGETHER):
+                rows += [(own[k], *rest) for k, *rest in index.leaks(values)]
             cols = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "edits", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "edits", "ends"])
 
     return texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, ends long")
 
 
+def _held(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[list[tuple[pa.RecordBatch, list[bytes]]]]:
+    """Batches with their texts, as many as have TOGETHER bytes: the walks' steps cost less over more windows."""
+    held, size = [], 0
+    for b in batches:
+        values = utf8(b.column(place))
+        held.append((b, values))
+        size += sum(map(len, values))
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+            trim()
+    if held:
+        yield held
+
+
 def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no item; one pass for each block of items, no join."""
     spark = docs.sparkSession
@@ -249,12 +273,16 @@ def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, s)
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for rows, values in grouped(list(range(b.num_rows)), utf8(b.column(place)), 1 << 20):
-                    for k, *_ in index.leaks(values):
+            for held in _held(batches, place):
+                values = [v for _, own in held for v in own]
+                keep = np.ones(len(values), bool)
+                for rows, some in grouped(list(range(len(values))), values, TOGETHER):
+                    for k, *_ in index.leaks(some):
                         keep[rows[k]] = False
-                yield b.filter(pa.array(keep, pa.bool_()))
+                at = 0
+                for b, own in held:
+                    yield b.filter(pa.array(keep[at : at + len(own)], pa.bool_()))
+                    at += len(own)
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -36,7 +36,7 @@ from .common import MAX_BLOCKS, MIN_BLOCKS, arrow_limits, cut, doc_hash, doc_wor
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3ED7AB)
 LOW48 = np.uint64((1 << 48) - 1)
 #: Text of a block, and of what a task holds before it sends.
-BLOCK_TEXT, FLUSH_TEXT = 12 << 20, 14 << 20
+BLOCK_TEXT, FLUSH_TEXT = 8 << 20, 12 << 20
 #: Bound of the list of contexts that are dealt by (context, word).
 HOT = 1 << 16
 LAST = 2**63 - 1
@@ -80,7 +80,7 @@ def pairs_of(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words[inner], words[last] = h, END
     contexts[1:] = words[:-1]
     contexts[first] = BEGIN
-    return contexts, words, np.repeat(np.arange(len(values)), n + 1)
+    return contexts, words, np.repeat(np.arange(len(values), dtype=np.int32), n + 1)
 
 
 def block_of(u: np.ndarray, w: np.ndarray, blocks: int, hot: np.ndarray) -> np.ndarray:
@@ -388,7 +388,7 @@ def _scored(state: State, s: Settings):
         u = np.concatenate([np.repeat(p[1], p[2]) for p in sent])
         w = np.concatenate([unsix(p[3]) for p in sent])
         base = np.concatenate(([0], np.cumsum([len(p[5]) for p in sent])))
-        text = np.concatenate([p[4].astype(np.int64) + base[k] for k, p in enumerate(sent)])
+        text = np.concatenate([p[4].astype(np.int32) + np.int32(base[k]) for k, p in enumerate(sent)])
         key, th = (np.concatenate([p[c] for p in sent]) for c in (5, 6))
         teach = np.concatenate([p[7] for p in sent])[text] == 0
         o = np.lexsort((w, u))

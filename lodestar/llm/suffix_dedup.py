@@ -320,6 +320,8 @@ def matches(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, buf: np.nd
         a = b
     # The others: matched as a whole by an older equal run, or, of the same id, as the first of them.
     later = np.flatnonzero(first != np.arange(len(keys)))
+    if not len(later):
+        return flat
     each = counts[later]
     at = np.arange(int(each.sum())) - np.repeat(np.concatenate(([0], np.cumsum(each)[:-1])), each)
     flat[np.repeat(edge[later], each) + at] = flat[np.repeat(edge[first[later]], each) + at] | np.repeat(keys[first[later]] < keys[later], each)
