@@ -7,10 +7,11 @@ at most ``heavy`` of them) come last, the others in order of their hash.  Column
 partial overlaps, which are summed over the blocks, and pairs whose sum cannot reach the bound that their sizes set
 are dropped.  What is left is verified on the whole sets.
 
-Rounds keep a large group from being multiplied out.  The first ones take for each node a few neighbours with the most
-partial overlap among those next to it in the lists, verify those pairs and so find most components.  The last
-multiplies the lists again, but only pairs whose components differ; so no link between components is lost, and a
-group of thousands of near copies costs a few pairs for each copy.
+A large group is not multiplied out.  First each node is verified against a few partners: the one of its lists whose
+n-grams are shared most widely (an original among its copies) and its neighbours in size; that finds most components.
+Then a node asks each larger component with which it shares enough lists, whatever their number, and the product of
+its row with the component's rows is taken block by block, exactly, until one link is found in each.  So no link
+between components is lost, and a group of thousands of near copies costs a few products for each copy.
 
 Defined results: a document with fewer words than n has its whole sequence as its one n-gram; one without words, or
 with null text, has none, is linked with nothing and is its own component; repeated rows of an id are one document's;
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, by_block, messages, pack, split_by, unpack
-from .common import arrow_limits, block_count, cut, doc_words, grouped, mix, release, texts, utf8
+from .common import arrow_limits, block_count, cut, doc_words, grouped, mix, release, texts, trim, utf8
 from .components import components
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
@@ -113,10 +114,11 @@ def nodes(docs: DataFrame, words: int, heavy: int) -> DataFrame:
                     seen.add(node)
                     held.append(s[: max(1, (2 * len(s)) // 5)])  # the low hashes: only they can be in a prefix
                     size += len(held[-1])
-                    if size > 1 << 21:
+                    if size > 1 << 19:
                         merge()
                         held, size = [], 0
                         seen.clear()
+                        trim()
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(own, pa.int64()), th], names=names)
         if held:
             merge()
@@ -169,6 +171,7 @@ def _postings(docs: DataFrame, words: int, t: Fraction, last: np.ndarray, blocks
                         yield from flush()
                         own, sizes, counts, grams, total = [], [], [], [], 0
                         seen.clear()
+                        trim()
             if own:
                 yield from flush()
 
@@ -217,7 +220,7 @@ def _summed(x, y, nx, ny) -> Iterator[pa.RecordBatch]:
     yield from _pair_batches(x[first], y[first], nx[first], ny[first], np.diff(np.append(first, len(x))))
 
 
-def _by_gram_block(lists: DataFrame, work, columns: list[str]) -> DataFrame:
+def _by_gram_block(lists: DataFrame, work, columns: list[str], ddl: str) -> DataFrame:
     """work(arrays of the columns, sorted by gram) on each block of n-grams, one at a time; blocks are runs of equal 'block'."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -229,63 +232,143 @@ def _by_gram_block(lists: DataFrame, work, columns: list[str]) -> DataFrame:
                 if held and block[a] != now:
                     yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
                     held = []
+                    trim()
                 now = block[a]
                 held.append([c[a:z] for c in cols])
         if held:
             yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
+        trim()
 
-    return lists.repartition("block").sortWithinPartitions("block").select("block", *columns).mapInArrow(run, PAIRS)
+    return lists.repartition("block").sortWithinPartitions("block").select("block", *columns).mapInArrow(run, ddl)
 
 
 def _neighbours(t: Fraction):
-    """Pairs next to each other in a list ordered by size and node, if their labels differ and their sizes fit."""
+    """The likeliest partners in each list: the node whose n-grams are shared most widely (an original among its copies), and the next in size."""
     def work(cols) -> Iterator[pa.RecordBatch]:
-        h, node, n, label = cols
+        h, node, n, cover = cols
+        o = np.lexsort((node, -cover, h))
+        hub = np.flatnonzero(np.concatenate(([True], h[o][1:] != h[o][:-1])))
+        sizes = np.diff(np.append(hub, len(h)))
+        x, y = o[np.repeat(hub, sizes)], o
         o = np.lexsort((node, n, h))
-        h, node, n, label = h[o], node[o], n[o], label[o]
-        a = np.flatnonzero((h[1:] == h[:-1]) & (label[1:] != label[:-1]) & (n[:-1] * t.denominator >= n[1:] * t.numerator))
-        flip = node[a] > node[a + 1]
-        x, y = np.where(flip, a + 1, a), np.where(flip, a, a + 1)
+        near = np.flatnonzero(h[o][1:] == h[o][:-1])
+        x, y = np.concatenate((x, o[near])), np.concatenate((y, o[near + 1]))
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        fits = (x != y) & (small * t.denominator >= large * t.numerator)
+        x, y = x[fits], y[fits]
+        flip = node[x] > node[y]
+        x, y = np.where(flip, y, x), np.where(flip, x, y)
         yield from _summed(node[x], node[y], n[x], n[y])
 
     return work
 
 
-def _across(t: Fraction, most: int = 1 << 21):
-    """All pairs of a list whose labels differ and whose sizes fit."""
+TOUCHES = "node long, label long, n long, low long, high long, c long"
+
+
+def _touches(t: Fraction, largest: bool, most: int = 1 << 20):
+    """(node, label, n, low, high, c): how many lists a node shares with each larger component, and the sizes it meets there.
+
+    largest: only the largest component of each list is asked, which takes no more rows than the list has.
+
+    Of two components the smaller one's nodes ask (of equal ones those of the greater label), and sizes beyond t don't count.
+    """
+    def rows(parts) -> Iterator[pa.RecordBatch]:
+        node, label, n, low, high = (np.concatenate(v) for v in zip(*parts, strict=True))
+        o = np.lexsort((label, node))
+        node, label, n, low, high = node[o], label[o], n[o], low[o], high[o]
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (label[1:] != label[:-1])
+        first = np.flatnonzero(new)
+        out = (node[first], label[first], n[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.diff(np.append(first, len(node))))
+        for a in range(0, len(first), 1 << 16):
+            z = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(v[z], pa.int64()) for v in out], names=["node", "label", "n", "low", "high", "c"])
+
+    p, q = t.numerator, t.denominator
+
+    def shortfall(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a + b) * p / (p + q) - np.maximum(-(-a * p // q), -(-b * p // q)) + 1
+
     def work(cols) -> Iterator[pa.RecordBatch]:
-        h, node, n, label = cols
-        o = np.lexsort((node, n, h))
-        h, node, n, label = h[o], node[o], n[o], label[o]
+        h, node, n, label, size, cover = cols
+        o = np.lexsort((n, label, h))
+        h, node, n, label, size, cover = h[o], node[o], n[o], label[o], size[o], cover[o]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         edge = np.append(np.flatnonzero(new), len(h))
-        found, size = [], 0
+        parts, held = [], 0
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            lab = label[a:b]
-            if (lab == lab[0]).all():
+            if label[a] == label[b - 1]:
                 continue
-            for i in range(a, b - 1):  # sorted by size: the partners of i are a stretch behind it
-                top = np.searchsorted(n[a:b], (n[i] * t.denominator) // t.numerator, "right") + a
-                js = np.flatnonzero(label[i + 1 : top] != label[i]) + i + 1
-                if len(js):
-                    found.append((np.full(len(js), i), js))
-                    size += len(js)
-                    if size >= most:
-                        yield from emit(found, node, n)
-                        found, size = [], 0
-        if found:
-            yield from emit(found, node, n)
-
-    def emit(found, node, n):
-        i, j = (np.concatenate(v) for v in zip(*found, strict=True))
-        flip = node[i] > node[j]
-        a, b = np.where(flip, j, i), np.where(flip, i, j)
-        yield from _summed(node[a], node[b], n[a], n[b])
+            # The components of the list, with the least and greatest size of their nodes in it.
+            at = np.flatnonzero(np.concatenate(([True], label[a + 1 : b] != label[a : b - 1]))) + a
+            low, high = n[at], n[np.append(at[1:], b) - 1]
+            most_shared = np.maximum.reduceat(cover[a:b], at - a)
+            for k in [max(range(len(at)), key=lambda j: (size[at[j]], -label[at[j]]))] if largest else range(len(at)):  # noqa: B023  used at once
+                mine = (size[a:b] < size[at[k]]) | (size[a:b] == size[at[k]]) & (label[a:b] > label[at[k]])
+                mine &= (high[k] * q >= n[a:b] * p) & (low[k] * p <= n[a:b] * q)
+                # Neither can share more of its prefix than it shares with anyone.
+                few = np.minimum(shortfall(n[a:b], np.maximum(low[k], -(-n[a:b] * p // q))), shortfall(n[a:b], np.minimum(high[k], n[a:b] * q // p)))
+                mine &= np.minimum(cover[a:b], most_shared[k]) >= few
+                who = np.flatnonzero(mine) + a
+                if len(who):
+                    parts.append((node[who], np.full(len(who), label[at[k]]), n[who], np.full(len(who), low[k]), np.full(len(who), high[k])))
+                    held += len(who)
+            if held > most:
+                yield from rows(parts)
+                parts, held = [], 0
+        if parts:
+            yield from rows(parts)
 
     return work
 
 
+#: N-grams of a component's nodes that are looked at together.
+BUCKET = 1 << 16
+
+
+def _meet(t: Fraction):
+    """Block by block: sets of a component's nodes with about BUCKET n-grams (kind 0), then those that ask (kind 1): one link of each, if it has one.
+
+    The block's n-grams stand sorted with the nodes that have them, so an asker's overlaps with all are counted at once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets, grams, owners, sizes, size = None, [], [], None, None, None, 0
+        for b in batches:
+            x, y = [], []
+            for label, bucket, kind, node, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = np.frombuffer(s, np.uint64)
+                if (label, bucket) != now:
+                    now, names, sets, grams = (label, bucket), [], [], None
+                    if size > 1 << 24:
+                        size = 0
+                        trim()
+                size += s.nbytes
+                if kind == 0:
+                    names.append(node)
+                    sets.append(s)
+                    continue
+                if not names:
+                    continue
+                if grams is None:
+                    grams, sizes = np.concatenate(sets), np.array([len(v) for v in sets])
+                    order = np.argsort(grams, kind="stable")
+                    grams, owners = grams[order], np.repeat(np.arange(len(sets)), sizes)[order]
+                lo, hi = np.searchsorted(grams, s, "left"), np.searchsorted(grams, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+                both = np.bincount(owners[at], minlength=len(names))
+                hit = np.flatnonzero(both * t.denominator >= t.numerator * (sizes + len(s) - both))
+                if len(hit):
+                    x.append(node)
+                    y.append(names[hit[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+        trim()
+
+    return run
+
+
 def whole_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, packed set) of the wanted nodes, each from one document that stands for it."""
     mine = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
@@ -303,6 +386,7 @@ def whole_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, words: int)
             for own, values in grouped(b.column(0).to_pylist(), [opener.decompress(z) for z in b.column(1).to_pylist()]):
                 node += own
                 s += [x.tobytes() for x in shingle_sets(values, words)]
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(s, pa.binary())], names=["node", "s"])
 
     packed = _hashed(docs).mapInArrow(shrink, "doc_id long, th long, z binary")
@@ -319,6 +403,7 @@ def verified(pairs: DataFrame, whole: DataFrame, t: Fraction) -> DataFrame:
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both * t.denominator >= t.numerator * (len(p) + len(q) - both))
+            trim()
             keep = [k for k, v in enumerate(ok) if v]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], pa.int64()), pa.array([y[k] for k in keep], pa.int64())], names=["x", "y"])
 
@@ -326,7 +411,17 @@ def verified(pairs: DataFrame, whole: DataFrame, t: Fraction) -> DataFrame:
     return left.join(whole.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y").select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long")
 
 
-def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: int = HEAVY, rounds: int = 2, near: int = 4) -> tuple[DataFrame, DataFrame]:
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+
+def _shortfall(n: str, m: str, t: Fraction):
+    """The least overlap of prefixes that sets of the sizes need: what the sizes ask for, less what can lie beyond a prefix."""
+    suffix = lambda c: F.ceil(F.col(c) * t.numerator / F.lit(float(t.denominator))) - 1  # noqa: E731  n less its prefix
+    return (F.col(n) + F.col(m)) * t.numerator / F.lit(float(t.numerator + t.denominator)) - F.greatest(suffix(n), suffix(m))
+
+
+def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: int = HEAVY, near: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of all documents, and the labels (node, label) of the components."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -337,30 +432,61 @@ def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy:
     last = np.sort(np.array([r["node"] for r in often.collect()], np.int64).view(np.uint64))
     lists = cut(by_block(_postings(docs, words, t, last, blocks), _lists, "gram long, node long, n long"))
     release(spark)
-    whole = cut(whole_sets(docs, base, lists.select("node").distinct(), words))
-    release(spark)
     block = F.pmod("gram", F.lit(blocks)).alias("block")
-    columns = ["gram", "node", "n", "label"]
-    links, labels = None, spark.createDataFrame([], "node long, label long")
-
-    def told() -> DataFrame:
-        return lists.join(labels, "node", "left").select(block, "gram", "node", "n", F.coalesce("label", "node").alias("label"))
-
-    for _ in range(rounds):
-        pairs = _by_gram_block(told(), _neighbours(t), columns).groupBy("x", "y").agg(F.sum("c").alias("c"))
-        ends = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct("c", "x", "y").alias("p"))
-        # A node stands in no more lists than its prefix is long, so it has at most twice as many neighbours.
-        best = ends.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, near).alias("p")).select(F.explode("p").alias("p")).select("p.x", "p.y").distinct()
-        new = cut(verified(best, whole, t))
-        links = new if links is None else cut(links.unionByName(new))
+    # First the likeliest partners: partial overlaps of a third of the bound, the best few of each node. A node stands in
+    # no more lists than its prefix is long, so it has at most three times as many partners.
+    cover = cut(lists.groupBy("node").agg(F.count(F.lit(1)).alias("cover"), F.max("n").alias("grams")))
+    pairs = _by_gram_block(lists.join(cover, "node").select(block, "gram", "node", "n", "cover"), _neighbours(t), ["gram", "node", "n", "cover"], PAIRS)
+    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).where(3 * F.col("c") >= _shortfall("nx", "ny", t))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct("c", "x", "y").alias("p"))
+    best = ends.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, near).alias("p"))
+    first = cut(best.select(F.explode("p").alias("p")).select("p.x", "p.y").distinct())
+    release(spark)
+    whole = cut(whole_sets(docs, base, _nodes_of(first), words))
+    release(spark)
+    links = cut(verified(first, whole, t))
+    release(spark)
+    labels = components(links)
+    # Then what may link components: a node and a larger component that share enough of its prefix. The largest of each
+    # list is asked first, so that few components are left when all are.
+    for largest in (True, False):
+        asked = cut(_asked(lists, labels, cover, t, largest))
+        release(spark)
+        if not asked.limit(1).count():
+            continue
+        rows = cut(_dealt(asked, labels, cover))
+        more = cut(whole_sets(docs, base, rows.select("node").distinct().join(whole.select("node"), "node", "left_anti"), words))
+        whole = whole.unionByName(more)
+        release(spark)
+        sets = rows.join(whole, "node").select("label", "bucket", "kind", "node", "s")
+        met = sets.repartition("label", "bucket").sortWithinPartitions("label", "bucket", "kind").mapInArrow(_meet(t), "x long, y long")
+        links = cut(links.unionByName(cut(met)))
         labels = components(links)
         release(spark)
-    suffix = lambda n: F.ceil(F.col(n) * t.numerator / F.lit(float(t.denominator))) - 1  # noqa: E731  n less its prefix
-    pairs = _by_gram_block(told(), _across(t), columns).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
-    most = F.least("nx", "ny", F.col("c") + F.greatest(suffix("nx"), suffix("ny")))
-    pairs = pairs.where((t.numerator + t.denominator) * most >= t.numerator * (F.col("nx") + F.col("ny"))).select("x", "y")
-    new = cut(verified(pairs, whole, t))
-    return base, components(links.unionByName(new) if links is not None else new)
+    return base, labels
+
+
+def _asked(lists: DataFrame, labels: DataFrame, cover: DataFrame, t: Fraction, largest: bool) -> DataFrame:
+    """(node, label): nodes and components that may hold a link of theirs."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    known = cover.join(labels.join(sizes, "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"), "cover")
+    block = F.pmod("gram", F.lit(max(32, lists.count() >> 18))).alias("block")
+    told = lists.join(known, "node").select(block, "gram", "node", "n", "label", "size", "cover")
+    asked = _by_gram_block(told, _touches(t, largest), ["gram", "node", "n", "label", "size", "cover"], TOUCHES)
+    asked = asked.groupBy("node", "label", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c"))
+    # The bound is least at the ends of the sizes that may link at all.
+    asked = asked.withColumn("low", F.greatest("low", F.ceil(F.col("n") * t.numerator / F.lit(float(t.denominator))))).withColumn("high", F.least("high", F.floor(F.col("n") * t.denominator / F.lit(float(t.numerator)))))
+    return asked.where((F.col("c") >= _shortfall("n", "low", t)) | (F.col("c") >= _shortfall("n", "high", t))).select("node", "label")
+
+
+def _dealt(asked: DataFrame, labels: DataFrame, cover: DataFrame) -> DataFrame:
+    """(label, bucket, kind, node): the components asked for (a node alone is its own) in buckets, and every asker in each bucket."""
+    sizes = labels.join(cover, "node").groupBy("label").agg(F.sum("grams").alias("grams"))
+    wanted = asked.select("label").distinct().join(sizes, "label", "left").join(cover.select(F.col("node").alias("label"), F.col("grams").alias("own")), "label")
+    wanted = wanted.select("label", F.greatest(F.lit(1), F.ceil(F.coalesce("grams", "own") / F.lit(float(BUCKET)))).cast("int").alias("buckets"))
+    members = wanted.join(labels, "label", "left").select("label", F.coalesce("node", "label").alias("node"), F.pmod(F.xxhash64(F.coalesce("node", "label")), F.col("buckets")).cast("int").alias("bucket"), F.lit(0).alias("kind"))
+    askers = asked.join(wanted, "label").select("label", "node", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(1).alias("kind"))
+    return members.unionByName(askers).select("label", "bucket", "kind", "node")
 
 
 def join(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: int = HEAVY) -> DataFrame:
