@@ -9,8 +9,9 @@ are dropped.  What is left is verified on the whole sets.
 
 A large group is not multiplied out.  First each node is verified against a few partners: the one of its lists whose
 n-grams are shared most widely (an original among its copies) and its neighbours in size; that finds most components.
-Then a node asks each larger component with which it shares enough lists, whatever their number, and the product of
-its row with the component's rows is taken block by block, exactly, until one link is found in each.  So no link
+The likely partners, linked or not, also make clusters.  Then nodes ask whole clusters: the product of a node's row with
+the cluster's rows is taken block by block, exactly, for all nodes outside the largest component of their cluster, and
+for each larger cluster with which a node shares enough lists; one link to each other component is kept.  So no link
 between components is lost, and a group of thousands of near copies costs a few products for each copy.
 
 Defined results: a document with fewer words than n has its whole sequence as its one n-gram; one without words, or
@@ -266,12 +267,10 @@ def _neighbours(t: Fraction):
 TOUCHES = "node long, label long, n long, low long, high long, c long"
 
 
-def _touches(t: Fraction, largest: bool, most: int = 1 << 20):
-    """(node, label, n, low, high, c): how many lists a node shares with each larger component, and the sizes it meets there.
+def _touches(t: Fraction, most: int = 1 << 20):
+    """(node, label, n, low, high, c): how many lists a node shares with each larger cluster (label), and the sizes it meets there.
 
-    largest: only the largest component of each list is asked, which takes no more rows than the list has.
-
-    Of two components the smaller one's nodes ask (of equal ones those of the greater label), and sizes beyond t don't count.
+    Of two clusters the smaller one's nodes ask (of equal ones those of the greater label), and sizes beyond t don't count.
     """
     def rows(parts) -> Iterator[pa.RecordBatch]:
         node, label, n, low, high = (np.concatenate(v) for v in zip(*parts, strict=True))
@@ -305,7 +304,7 @@ def _touches(t: Fraction, largest: bool, most: int = 1 << 20):
             at = np.flatnonzero(np.concatenate(([True], label[a + 1 : b] != label[a : b - 1]))) + a
             low, high = n[at], n[np.append(at[1:], b) - 1]
             most_shared = np.maximum.reduceat(cover[a:b], at - a)
-            for k in [max(range(len(at)), key=lambda j: (size[at[j]], -label[at[j]]))] if largest else range(len(at)):  # noqa: B023  used at once
+            for k in range(len(at)):
                 mine = (size[a:b] < size[at[k]]) | (size[a:b] == size[at[k]]) & (label[a:b] > label[at[k]])
                 mine &= (high[k] * q >= n[a:b] * p) & (low[k] * p <= n[a:b] * q)
                 # Neither can share more of its prefix than it shares with anyone.
@@ -329,18 +328,18 @@ BUCKET = 1 << 16
 
 
 def _meet(t: Fraction):
-    """Block by block: sets of a component's nodes with about BUCKET n-grams (kind 0), then those that ask (kind 1): one link of each, if it has one.
+    """Block by block: sets of a cluster's nodes with about BUCKET n-grams (kind 0), then those that ask (kind 1): of each a link to every other component that it has one to.
 
     The block's n-grams stand sorted with the nodes that have them, so an asker's overlaps with all are counted at once.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sets, grams, owners, sizes, size = None, [], [], None, None, None, 0
+        now, names, sets, homes, grams, owners, sizes, size = None, [], [], [], None, None, None, 0
         for b in batches:
             x, y = [], []
-            for label, bucket, kind, node, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for cluster, bucket, kind, node, home, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = np.frombuffer(s, np.uint64)
-                if (label, bucket) != now:
-                    now, names, sets, grams = (label, bucket), [], [], None
+                if (cluster, bucket) != now:
+                    now, names, sets, homes, grams = (cluster, bucket), [], [], [], None
                     if size > 1 << 24:
                         size = 0
                         trim()
@@ -348,6 +347,7 @@ def _meet(t: Fraction):
                 if kind == 0:
                     names.append(node)
                     sets.append(s)
+                    homes.append(home)
                     continue
                 if not names:
                     continue
@@ -360,9 +360,10 @@ def _meet(t: Fraction):
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
                 both = np.bincount(owners[at], minlength=len(names))
                 hit = np.flatnonzero(both * t.denominator >= t.numerator * (sizes + len(s) - both))
-                if len(hit):
-                    x.append(node)
-                    y.append(names[hit[0]])
+                for other, k in {homes[k]: k for k in hit.tolist()}.items():
+                    if other != home:
+                        x.append(node)
+                        y.append(names[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
         trim()
 
@@ -446,47 +447,46 @@ def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy:
     release(spark)
     links = cut(verified(first, whole, t))
     release(spark)
-    labels = components(links)
-    # Then what may link components: a node and a larger component that share enough of its prefix. The largest of each
-    # list is asked first, so that few components are left when all are.
-    for largest in (True, False):
-        asked = cut(_asked(lists, labels, cover, t, largest))
-        release(spark)
-        if not asked.limit(1).count():
-            continue
-        rows = cut(_dealt(asked, labels, cover))
-        more = cut(whole_sets(docs, base, rows.select("node").distinct().join(whole.select("node"), "node", "left_anti"), words))
-        whole = whole.unionByName(more)
-        release(spark)
-        sets = rows.join(whole, "node").select("label", "bucket", "kind", "node", "s")
-        met = sets.repartition("label", "bucket").sortWithinPartitions("label", "bucket", "kind").mapInArrow(_meet(t), "x long, y long")
-        links = cut(links.unionByName(cut(met)))
-        labels = components(links)
-        release(spark)
-    return base, labels
-
-
-def _asked(lists: DataFrame, labels: DataFrame, cover: DataFrame, t: Fraction, largest: bool) -> DataFrame:
-    """(node, label): nodes and components that may hold a link of theirs."""
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    known = cover.join(labels.join(sizes, "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"), "cover")
+    labels, clusters = components(links), components(first)
+    # Then what else may link. Clusters are joined by likely partners, linked or not; in each, all nodes outside its largest
+    # component ask the whole cluster, and a node asks each larger cluster with which it shares enough of its prefix.
+    info = cover.join(clusters.withColumnRenamed("label", "cluster"), "node", "left").join(labels, "node", "left").select("node", "cover", "grams", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("label", "node").alias("label"))
+    info = cut(info)
+    parts = info.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("cluster").agg(F.sum("k").alias("size"), F.min_by("label", F.struct(-F.col("k"), "label")).alias("main"))
+    info = cut(info.join(main, "cluster"))
+    inside = info.where((F.col("size") > 1) & (F.col("label") != F.col("main"))).select("node", "cluster")
+    asked = cut(_asked(lists, info, t).unionByName(inside))
+    release(spark)
+    if not asked.limit(1).count():
+        return base, labels
+    rows = cut(_dealt(asked, info))
+    more = cut(whole_sets(docs, base, rows.select("node").distinct().join(whole.select("node"), "node", "left_anti"), words))
+    release(spark)
+    sets = rows.join(whole.unionByName(more), "node").select("cluster", "bucket", "kind", "node", "label", "s")
+    met = sets.repartition("cluster", "bucket").sortWithinPartitions("cluster", "bucket", "kind").mapInArrow(_meet(t), "x long, y long")
+    links = cut(links.unionByName(cut(met)))
+    release(spark)
+    return base, components(links)
+
+
+def _asked(lists: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
+    """(node, cluster): nodes and larger clusters that may hold a link of theirs."""
     block = F.pmod("gram", F.lit(max(32, lists.count() >> 18))).alias("block")
-    told = lists.join(known, "node").select(block, "gram", "node", "n", "label", "size", "cover")
-    asked = _by_gram_block(told, _touches(t, largest), ["gram", "node", "n", "label", "size", "cover"], TOUCHES)
+    told = lists.join(info.select("node", F.col("cluster").alias("label"), "size", "cover"), "node").select(block, "gram", "node", "n", "label", "size", "cover")
+    asked = _by_gram_block(told, _touches(t), ["gram", "node", "n", "label", "size", "cover"], TOUCHES)
     asked = asked.groupBy("node", "label", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c"))
     # The bound is least at the ends of the sizes that may link at all.
     asked = asked.withColumn("low", F.greatest("low", F.ceil(F.col("n") * t.numerator / F.lit(float(t.denominator))))).withColumn("high", F.least("high", F.floor(F.col("n") * t.denominator / F.lit(float(t.numerator)))))
-    return asked.where((F.col("c") >= _shortfall("n", "low", t)) | (F.col("c") >= _shortfall("n", "high", t))).select("node", "label")
+    return asked.where((F.col("c") >= _shortfall("n", "low", t)) | (F.col("c") >= _shortfall("n", "high", t))).select("node", F.col("label").alias("cluster"))
 
 
-def _dealt(asked: DataFrame, labels: DataFrame, cover: DataFrame) -> DataFrame:
-    """(label, bucket, kind, node): the components asked for (a node alone is its own) in buckets, and every asker in each bucket."""
-    sizes = labels.join(cover, "node").groupBy("label").agg(F.sum("grams").alias("grams"))
-    wanted = asked.select("label").distinct().join(sizes, "label", "left").join(cover.select(F.col("node").alias("label"), F.col("grams").alias("own")), "label")
-    wanted = wanted.select("label", F.greatest(F.lit(1), F.ceil(F.coalesce("grams", "own") / F.lit(float(BUCKET)))).cast("int").alias("buckets"))
-    members = wanted.join(labels, "label", "left").select("label", F.coalesce("node", "label").alias("node"), F.pmod(F.xxhash64(F.coalesce("node", "label")), F.col("buckets")).cast("int").alias("bucket"), F.lit(0).alias("kind"))
-    askers = asked.join(wanted, "label").select("label", "node", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(1).alias("kind"))
-    return members.unionByName(askers).select("label", "bucket", "kind", "node")
+def _dealt(asked: DataFrame, info: DataFrame) -> DataFrame:
+    """(cluster, bucket, kind, node, label): the clusters asked for in buckets, and every asker in each bucket."""
+    wanted = asked.select("cluster").distinct().join(info, "cluster").groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("grams") / F.lit(float(BUCKET)))).cast("int").alias("buckets"))
+    members = wanted.join(info, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col("buckets")).cast("int").alias("bucket"), F.lit(0).alias("kind"), "node", "label")
+    askers = asked.join(wanted, "cluster").join(info.select("node", "label"), "node").select("cluster", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(1).alias("kind"), "node", "label")
+    return members.unionByName(askers)
 
 
 def join(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: int = HEAVY) -> DataFrame:
