@@ -1,7 +1,8 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
 Texts are compared in lower case and with white space runs as one space.  An item of n bytes is found in every place where the
-edit distance is at most ``tolerance * n``.  Such a place holds at least one of the item's k + 1 equal pieces unchanged, so
+edit distance is at most ``tolerance * n``.  Such a place holds at least one of the item's k + 1 equal pieces unchanged (its
+first ``least`` bytes, or all of a shorter piece, are the seed), so
 only windows aligned at a piece are looked at; they are as long as the items of their class.  The CGK random walk turns
 windows and items into strings whose Hamming distance follows the edit distance: at every step the current byte is
 copied and a random bit of (step, byte) says whether to move on.  Repeated bit-sampling of several walks gives the
@@ -98,19 +99,20 @@ class Index:
             at = np.sort(rng.integers(0, 2 * m, (s.walks, s.tables, s.bits)), axis=2)
             self.samples[m] = at
         self.factor = rng.integers(1, 1 << 63, s.bits, dtype=np.uint64) | np.uint64(1)
-        pieces: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for j, (_, t) in enumerate(self.items):
             k = allowed(len(t), s)
             size = len(t) // (k + 1)
-            head = min(size, s.least)
+            q = min(size, s.least)
             a = np.frombuffer(t, np.uint8)
             for p in range(k + 1):
-                pieces[int(seed_hashes(a[p * size : p * size + head], head)[0]) if head == s.least else None].append((j, p * size))
-        pieces.pop(None, None)
-        self.seeds = np.array(sorted(pieces), np.uint64)
-        self.owners = [pieces[int(h)] for h in self.seeds]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
+                pieces[q][int(seed_hashes(a[p * size : p * size + q], q)[0])].append((j, p * size))
+        self.seeds = {}  # of each seed length: hashes, owners, filter
+        for q, own in sorted(pieces.items()):
+            hashes = np.array(sorted(own), np.uint64)
+            known = np.zeros(1 << 22, bool)
+            known[(hashes >> np.uint64(42)).astype(np.int64)] = True
+            self.seeds[q] = hashes, [own[int(h)] for h in hashes], known
         self.grams = [[t[k : k + 4] for k in range(len(t) - 3)] for _, t in self.items]
         self.tables = {}
         for m in self.samples:
@@ -146,17 +148,18 @@ class Index:
 
     def candidates(self, buf: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) pairs that collide in a table, of the windows aligned at a piece."""
-        if len(buf) < self.s.least or not len(self.seeds):
-            return set()
-        h = seed_hashes(buf, self.s.least)
-        at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
-        place = np.searchsorted(self.seeds, h[at])
-        place[place == len(self.seeds)] = 0
-        hit = self.seeds[place] == h[at]
         windows: dict[int, set[int]] = defaultdict(set)
-        for p, j in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
-            for item, offset in self.owners[j]:
-                windows[int(self.cls[item])].add(max(0, p - offset))
+        for q, (seeds, owners, known) in self.seeds.items():
+            if len(buf) < q:
+                continue
+            h = seed_hashes(buf, q)
+            at = np.flatnonzero(known[(h >> np.uint64(42)).astype(np.int64)])
+            place = np.searchsorted(seeds, h[at])
+            place[place == len(seeds)] = 0
+            hit = seeds[place] == h[at]
+            for p, j in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
+                for item, offset in owners[j]:
+                    windows[int(self.cls[item])].add(max(0, p - offset))
         found: set[tuple[int, int]] = set()
         for m, starts in windows.items():
             where = np.array(sorted(starts), np.int64)

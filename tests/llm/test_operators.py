@@ -301,6 +301,14 @@ def test_decontamination_recall(share, recall):
     assert not list(index.leaks([f.encode() for f in filler]))
 
 
+def test_decontamination_finds_copies_of_every_length():
+    rng = random.Random(21)
+    items = [(n, "".join(rng.choice("aeioubcdfgstlmn") for _ in range(n)).encode()) for n in range(11, 121)]
+    index = decontaminate.Index(items, decontaminate.Settings())
+    found = {(k, i, n) for k, i, n, _ in index.leaks([b"some words before " + t + b" and some after" for _, t in items])}
+    assert found == {(k, i, 0) for k, (i, _) in enumerate(items)}
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(0, "  W10 w11 W12\n w13 w14 w15 w16 w17"), (1, None), (2, ""), (3, "tiny"), (None, "special strings inside texts"), (4, "not in any of these documents at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
