@@ -118,15 +118,16 @@ class Index:
         for m in self.samples:
             own = np.flatnonzero(self.cls == m)
             buf = np.frombuffer(b"".join(self.items[j][1][:m] for j in own), np.uint8)
-            sig = self.signatures(buf, np.arange(len(own)) * m, m)
+            sig = self.signatures(buf, np.arange(len(own)) * m, np.arange(1, len(own) + 1) * m, m)
             self.tables[m] = []
             for x in sig:
                 o = np.argsort(x, kind="stable")
                 self.tables[m].append((x[o], own[o]))
 
-    def signatures(self, buf: np.ndarray, starts: np.ndarray, m: int) -> list[np.ndarray]:
-        """Of the windows of m bytes at starts, one array for each table of each walk."""
+    def signatures(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: int) -> list[np.ndarray]:
+        """Of the windows of m bytes at starts, cut off at ends, one array for each table of each walk."""
         padded = np.concatenate((buf, np.zeros(m + 1, np.uint8)))
+        ends = np.minimum(starts + m, ends)
         out = []
         for w in range(self.s.walks):
             at = self.samples[m][w]
@@ -137,7 +138,7 @@ class Index:
             sums = np.zeros((self.s.tables, len(starts)), np.uint64)
             pos = starts.copy()
             for step in range(max(wanted) + 1):
-                past = pos - starts >= m
+                past = pos >= ends
                 c = padded[np.minimum(pos, len(padded) - 1)]
                 c[past] = 0
                 for t, b in wanted.get(step, ()):
@@ -146,9 +147,9 @@ class Index:
             out.extend(mix(sums))
         return out
 
-    def candidates(self, buf: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) pairs that collide in a table, of the windows aligned at a piece."""
-        windows: dict[int, set[int]] = defaultdict(set)
+    def candidates(self, buf: np.ndarray, begin: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, start) that collide in a table, of the windows aligned at a piece; text is the one that holds the piece."""
+        windows: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for q, (seeds, owners, known) in self.seeds.items():
             if len(buf) < q:
                 continue
@@ -157,16 +158,17 @@ class Index:
             place = np.searchsorted(seeds, h[at])
             place[place == len(seeds)] = 0
             hit = seeds[place] == h[at]
-            for p, j in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
+            held = np.searchsorted(begin, at[hit], "right") - 1
+            for p, k, j in zip(at[hit].tolist(), held.tolist(), place[hit].tolist(), strict=True):
                 for item, offset in owners[j]:
-                    windows[int(self.cls[item])].add(max(0, p - offset))
-        found: set[tuple[int, int]] = set()
-        for m, starts in windows.items():
-            where = np.array(sorted(starts), np.int64)
-            for sig, (keys, own) in zip(self.signatures(buf, where, m), self.tables[m], strict=True):
+                    windows[int(self.cls[item])].add((k, max(int(begin[k]), p - offset)))
+        found: set[tuple[int, int, int]] = set()
+        for m, places in windows.items():
+            held, where = np.array(sorted(places), np.int64).T
+            for sig, (keys, own) in zip(self.signatures(buf, where, begin[held + 1] - 1, m), self.tables[m], strict=True):
                 lo, hi = np.searchsorted(keys, sig, "left"), np.searchsorted(keys, sig, "right")
-                for k in np.flatnonzero(hi > lo).tolist():
-                    found.update((int(j), int(where[k])) for j in own[lo[k] : hi[k]])
+                for x in np.flatnonzero(hi > lo).tolist():
+                    found.update((int(held[x]), int(j), int(where[x])) for j in own[lo[x] : hi[x]])
         return found
 
     def may_hold(self, item: int, part: bytes, most: int) -> bool:
@@ -181,8 +183,7 @@ class Index:
         buf = np.frombuffer(b"\n".join(plain), np.uint8)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for item, start in sorted(self.candidates(buf)):
-            k = int(np.searchsorted(begin, start, "right")) - 1
+        for k, item, start in sorted(self.candidates(buf, begin)):
             text = self.items[item][1]
             most = allowed(len(text), self.s)
             a = max(0, start - int(begin[k]) - 2 * most)

@@ -309,6 +309,18 @@ def test_decontamination_finds_copies_of_every_length():
     assert found == {(k, i, 0) for k, (i, _) in enumerate(items)}
 
 
+def test_decontamination_does_not_depend_on_the_batch():
+    rng = random.Random(22)
+    items = [t.encode() for t in _items(rng, 40)]
+    index = decontaminate.Index(list(enumerate(items)), decontaminate.Settings())
+    for lost in (1, 2, 4):
+        for k, t in enumerate(items):
+            for text in (t[lost:], t[:-lost]):  # the item begins and ends the document
+                alone = list(index.leaks([text]))
+                assert [i for _, i, _, _ in alone] == [k]
+                assert [(i, *rest) for n, i, *rest in index.leaks([b"a text before", text, b"a text after"]) if n == 1] == [(i, *rest) for _, i, *rest in alone]
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(0, "  W10 w11 W12\n w13 w14 w15 w16 w17"), (1, None), (2, ""), (3, "tiny"), (None, "special strings inside texts"), (4, "not in any of these documents at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
