@@ -3,12 +3,13 @@
 Texts are compared in lower case and with white space runs as one space.  An item of n bytes is found in every place where the
 edit distance is at most ``tolerance * n``.  Such a place holds at least one of the item's k + 1 equal pieces unchanged (its
 first ``least`` bytes, or all of a shorter piece, are the seed), so
-only windows aligned at a piece are looked at; they are as long as the items of their class.  The CGK random walk turns
-windows and items into strings whose Hamming distance follows the edit distance: at every step the current byte is
+only windows that begin with a piece are looked at, in the text and in the item, so that both are aligned.  Their size doesn't
+follow the item's, so edits that crowd in one part of an item leave the windows of its other parts as they are.  The CGK
+random walk turns windows into strings whose Hamming distance follows the edit distance: at every step the current byte is
 copied and a random bit of (step, byte) says whether to move on.  Repeated bit-sampling of several walks gives the
 hash tables that pair windows with items; pairs are then verified by the exact edit distance of the item to any part
-of the surrounding text (bit-parallel).  ``tables`` and ``bits`` are set for a recall of 0.95 at the full tolerance, which
-the tests measure; a window equal to its item collides in every table.
+of the surrounding text (bit-parallel).  The tests measure the recall at the full tolerance, with edits spread and crowded;
+a window equal to its item's collides in every table.
 
 Items are spread over the executors in blocks of at most ``item_bytes``, each with its pass over the documents, so what
 is sent to the executors has a bound.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, grouped, mix, texts, trim, utf8
 
-#: Window sizes: an item is embedded over the largest that fits it.
-CLASSES = (16, 32, 64, 128, 256)
+#: Window sizes: from each piece on, an item is embedded over the largest that the rest of it holds, else over the seed.
+CLASSES = (16, 32)
 #: Bytes of text that are searched at once.
 TOGETHER = 2 << 20
 
@@ -91,38 +92,36 @@ class Index:
     def __init__(self, items: list[tuple[int | None, bytes]], s: Settings) -> None:
         self.s = s
         self.items = [(i, t) for i, t in ((i, normal(t or b"")) for i, t in items) if len(t) >= s.least]
-        self.cls = np.array([max(c for c in CLASSES if c <= len(t)) if len(t) >= CLASSES[0] else len(t) for _, t in self.items], np.int64)
-        rng = np.random.default_rng(s.seed)
-        self.move = rng.integers(0, 2, (s.walks, 3 * CLASSES[-1], 256), dtype=np.uint8)
-        self.samples = {}
-        for m in sorted(set(self.cls.tolist())):
-            at = np.sort(rng.integers(0, 2 * m, (s.walks, s.tables, s.bits)), axis=2)
-            self.samples[m] = at
-        self.factor = rng.integers(1, 1 << 63, s.bits, dtype=np.uint64) | np.uint64(1)
-        pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        pieces: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j, (_, t) in enumerate(self.items):
             k = allowed(len(t), s)
             size = len(t) // (k + 1)
             q = min(size, s.least)
             a = np.frombuffer(t, np.uint8)
-            for p in range(k + 1):
-                pieces[q][int(seed_hashes(a[p * size : p * size + q], q)[0])].append((j, p * size))
-        self.seeds = {}  # of each seed length: hashes, owners, filter
+            for at in range(0, size * (k + 1), size):
+                m = max((c for c in CLASSES if c <= len(t) - at), default=q)
+                pieces[q][int(seed_hashes(a[at : at + q], q)[0])].add(m)
+                windows[m].append((j, at))
+        rng = np.random.default_rng(s.seed)
+        self.move = rng.integers(0, 2, (s.walks, 3 * CLASSES[-1], 256), dtype=np.uint8)
+        self.samples = {m: np.sort(rng.integers(0, 2 * m, (s.walks, s.tables, s.bits)), axis=2) for m in sorted(windows)}
+        self.factor = rng.integers(1, 1 << 63, s.bits, dtype=np.uint64) | np.uint64(1)
+        self.seeds = {}  # of each seed length: hashes, window sizes, filter
         for q, own in sorted(pieces.items()):
             hashes = np.array(sorted(own), np.uint64)
             known = np.zeros(1 << 22, bool)
             known[(hashes >> np.uint64(42)).astype(np.int64)] = True
             self.seeds[q] = hashes, [own[int(h)] for h in hashes], known
-        self.grams = [[t[k : k + 4] for k in range(len(t) - 3)] for _, t in self.items]
         self.tables = {}
-        for m in self.samples:
-            own = np.flatnonzero(self.cls == m)
-            buf = np.frombuffer(b"".join(self.items[j][1][:m] for j in own), np.uint8)
+        self.rows = {m: np.array(own, np.int32) for m, own in windows.items()}  # item, offset
+        for m, own in windows.items():
+            buf = np.frombuffer(b"".join(self.items[j][1][at : at + m] for j, at in own), np.uint8)
             sig = self.signatures(buf, np.arange(len(own)) * m, np.arange(1, len(own) + 1) * m, m)
             self.tables[m] = []
             for x in sig:
-                o = np.argsort(x, kind="stable")
-                self.tables[m].append((x[o], own[o]))
+                o = np.argsort(x, kind="stable").astype(np.int32)
+                self.tables[m].append((x[o], o))
 
     def signatures(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: int) -> list[np.ndarray]:
         """Of the windows of m bytes at starts, cut off at ends, one array for each table of each walk."""
@@ -144,13 +143,13 @@ class Index:
                 for t, b in wanted.get(step, ()):
                     sums[t] += mix(c.astype(np.uint64) + np.uint64(b << 8)) * self.factor[b]
                 pos += self.move[w, step][c]
-            out.extend(mix(sums))
+            out.extend((mix(sums) >> np.uint64(32)).astype(np.uint32))
         return out
 
     def candidates(self, buf: np.ndarray, begin: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, start) that collide in a table, of the windows aligned at a piece; text is the one that holds the piece."""
+        """(text, item, start) that collide in a table, of the windows that begin with a piece; text is the one that holds the piece."""
         windows: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for q, (seeds, owners, known) in self.seeds.items():
+        for q, (seeds, sizes, known) in self.seeds.items():
             if len(buf) < q:
                 continue
             h = seed_hashes(buf, q)
@@ -160,21 +159,48 @@ class Index:
             hit = seeds[place] == h[at]
             held = np.searchsorted(begin, at[hit], "right") - 1
             for p, k, j in zip(at[hit].tolist(), held.tolist(), place[hit].tolist(), strict=True):
-                for item, offset in owners[j]:
-                    windows[int(self.cls[item])].add((k, max(int(begin[k]), p - offset)))
+                for m in sizes[j]:
+                    windows[m].add((k, p))
         found: set[tuple[int, int, int]] = set()
         for m, places in windows.items():
             held, where = np.array(sorted(places), np.int64).T
             for sig, (keys, own) in zip(self.signatures(buf, where, begin[held + 1] - 1, m), self.tables[m], strict=True):
                 lo, hi = np.searchsorted(keys, sig, "left"), np.searchsorted(keys, sig, "right")
                 for x in np.flatnonzero(hi > lo).tolist():
-                    found.update((int(held[x]), int(j), int(where[x])) for j in own[lo[x] : hi[x]])
+                    k, p = int(held[x]), int(where[x])
+                    found.update((k, j, max(int(begin[k]), p - at)) for j, at in self.rows[m][own[lo[x] : hi[x]]].tolist())
         return found
 
+    def likely(self, buf: np.ndarray, begin: np.ndarray, found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Those of found, sorted, around which there are enough of the item's 8-grams: an edit takes away eight at most."""
+        if not found:
+            return []
+        held, item, start = np.array(sorted(found), np.int64).T
+        keep = np.ones(len(held), bool)
+        longest = max(len(self.items[j][1]) for j in set(item.tolist()))
+        grams = gram_hashes(np.concatenate((buf, np.zeros(2 * longest + 8, np.uint8))))
+        has = np.zeros(1 << 16, bool)
+        order = np.argsort(item, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            text = self.items[int(item[own[0]])][1]
+            most = allowed(len(text), self.s)
+            if not most:
+                continue
+            of = gram_hashes(np.frombuffer(text, np.uint8))
+            has[of] = True
+            around = np.lib.stride_tricks.sliding_window_view(grams, len(text) + 4 * most)
+            at = np.maximum(begin[held[own]], start[own] - 2 * most)
+            step = max(1, (4 << 20) // around.shape[1])
+            for k in range(0, len(own), step):
+                keep[own[k : k + step]] = has[around[at[k : k + step]]].sum(axis=1) >= len(of) - 8 * most
+            has[of] = False
+        return list(zip(held[keep].tolist(), item[keep].tolist(), start[keep].tolist(), strict=True))
+
     def may_hold(self, item: int, part: bytes, most: int) -> bool:
         """Whether part has enough of the item's 4-grams: an edit takes away four at most."""
         have = {part[k : k + 4] for k in range(len(part) - 3)}
-        return sum(g in have for g in self.grams[item]) >= len(self.grams[item]) - 4 * most
+        text = self.items[item][1]
+        return sum(text[k : k + 4] in have for k in range(len(text) - 3)) >= len(text) - 3 - 4 * most
 
     def leaks(self, values: list[bytes]) -> Iterator[tuple[int, int | None, int, int]]:
         """(number of the text, item id, edits, end in the normalised text): the best place of each item in each text."""
@@ -183,13 +209,14 @@ class Index:
         buf = np.frombuffer(b"\n".join(plain), np.uint8)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for k, item, start in sorted(self.candidates(buf, begin)):
+        for k, item, start in self.likely(buf, begin, self.candidates(buf, begin)):
             text = self.items[item][1]
             most = allowed(len(text), self.s)
             a = max(0, start - int(begin[k]) - 2 * most)
             key = (k, item)
-            if key in done and start - done[key] <= most // 2 and key in best:
-                continue  # the same place from another piece
+            if key in done and start - done[key] <= most // 2:
+                continue  # another piece's, and in the part that was looked at
+            done[key] = start
             part = plain[k][a : start - int(begin[k]) + len(text) + 2 * most]
             if part.find(text) >= 0:
                 n, end = 0, part.find(text) + len(text)
@@ -197,7 +224,6 @@ class Index:
                 n, end = edits(text, part)
             else:
                 continue
-            done[key] = start
             if n <= most and (key not in best or n < best[key][0]):
                 best[key] = (n, a + end)
         for (k, item), (n, end) in sorted(best.items()):
@@ -216,6 +242,12 @@ def seed_hashes(a: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0x165667B19E3779F9)
 
 
+def gram_hashes(a: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of every 8-byte string."""
+    raw = a.tobytes()
+    return ((np.ndarray((max(0, len(raw) - 7),), "<u8", raw, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+
+
 def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, edits, ends (in the normalised text): a row for each document and item it holds."""
     arrow_limits(docs.sparkSession)

@@ -321,6 +321,23 @@ def test_decontamination_does_not_depend_on_the_batch():
                 assert [(i, *rest) for n, i, *rest in index.leaks([b"a text before", text, b"a text after"]) if n == 1] == [(i, *rest) for _, i, *rest in alone]
 
 
+@pytest.mark.parametrize("size", [230, 390, 1000])
+@pytest.mark.parametrize("part", ["begin", "middle", "end"])
+def test_decontamination_recall_of_crowded_edits(size, part):
+    rng = random.Random(size)
+    items = [" ".join(_items(rng, 30))[: size - 1] + "x" for _ in range(10)]
+    index = decontaminate.Index([(k, t.encode()) for k, t in enumerate(items)], decontaminate.Settings())
+    most = decontaminate.allowed(size, index.s)
+    a = {"begin": 0, "middle": size // 2 - most, "end": size - 2 * most}[part]
+    for k, t in enumerate(items):
+        changed = list(t)
+        for p in rng.sample(range(a, a + 2 * most), most):
+            changed[p] = rng.choice(["p", "pq", ""])
+        doc = f"{_items(rng, 1)[0]} {''.join(changed)} {_items(rng, 1)[0]}".encode()
+        within = decontaminate.edits(t.encode(), decontaminate.normal(doc))[0] <= most
+        assert [i for _, i, _, _ in index.leaks([b"before", doc])] == [k] * within
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(0, "  W10 w11 W12\n w13 w14 w15 w16 w17"), (1, None), (2, ""), (3, "tiny"), (None, "special strings inside texts"), (4, "not in any of these documents at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
