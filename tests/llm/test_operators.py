@@ -346,6 +346,9 @@ def test_decontamination(spark, docs, empty):
     assert left == sorted(i for i, _ in PLAIN if i not in (1, 2, 3, 4, 14, 17, None))
     assert decontaminate.leaks(empty, items).count() == 0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
+    blocks = decontaminate.Settings(item_bytes=64)  # more than one pass
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items, blocks).collect()} == got
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items, blocks).collect()) == left
 
 
 def test_language(spark, small, docs, empty):
