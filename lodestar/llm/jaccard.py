@@ -286,8 +286,9 @@ def _touches(t: Fraction, most: int = 1 << 20):
 
     p, q = t.numerator, t.denominator
 
-    def shortfall(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a + b) * p / (p + q) - np.maximum(-(-a * p // q), -(-b * p // q)) + 1
+    def least(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """No size from low to high asks for less: up to n it grows with the size, beyond n it falls but for the ceiling."""
+        return np.minimum((n + low) * p / (p + q) - -(-n * p // q), (n + high) * p / (p + q) - (high * p + q - 1) / q) + 1
 
     def work(cols) -> Iterator[pa.RecordBatch]:
         h, node, n, label, size, cover = cols
@@ -308,7 +309,7 @@ def _touches(t: Fraction, most: int = 1 << 20):
                 mine = (size[a:b] < size[at[k]]) | (size[a:b] == size[at[k]]) & (label[a:b] > label[at[k]])
                 mine &= (high[k] * q >= n[a:b] * p) & (low[k] * p <= n[a:b] * q)
                 # Neither can share more of its prefix than it shares with anyone.
-                few = np.minimum(shortfall(n[a:b], np.maximum(low[k], -(-n[a:b] * p // q))), shortfall(n[a:b], np.minimum(high[k], n[a:b] * q // p)))
+                few = least(n[a:b], np.maximum(low[k], -(-n[a:b] * p // q)), np.minimum(high[k], n[a:b] * q // p))
                 mine &= np.minimum(cover[a:b], most_shared[k]) >= few
                 who = np.flatnonzero(mine) + a
                 if len(who):
@@ -422,6 +423,13 @@ def _shortfall(n: str, m: str, t: Fraction):
     return (F.col(n) + F.col(m)) * t.numerator / F.lit(float(t.numerator + t.denominator)) - F.greatest(suffix(n), suffix(m))
 
 
+def _least_shortfall(n: str, low: str, high: str, t: Fraction):
+    """At most the shortfall of n with any size from low to high (as in _touches)."""
+    p, q = t.numerator, t.denominator
+    share = lambda m: (F.col(n) + F.col(m)) * p / F.lit(float(p + q))
+    return F.least(share(low) - F.ceil(F.col(n) * p / F.lit(float(q))), share(high) - (F.col(high) * p + q - 1) / F.lit(float(q))) + 1
+
+
 def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: int = HEAVY, near: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of all documents, and the labels (node, label) of the components."""
     spark = docs.sparkSession
@@ -476,9 +484,9 @@ def _asked(lists: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
     told = lists.join(info.select("node", F.col("cluster").alias("label"), "size", "cover"), "node").select(block, "gram", "node", "n", "label", "size", "cover")
     asked = _by_gram_block(told, _touches(t), ["gram", "node", "n", "label", "size", "cover"], TOUCHES)
     asked = asked.groupBy("node", "label", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c"))
-    # The bound is least at the ends of the sizes that may link at all.
+    # Of the sizes that may link at all, the one that asks for least.
     asked = asked.withColumn("low", F.greatest("low", F.ceil(F.col("n") * t.numerator / F.lit(float(t.denominator))))).withColumn("high", F.least("high", F.floor(F.col("n") * t.denominator / F.lit(float(t.numerator)))))
-    return asked.where((F.col("c") >= _shortfall("n", "low", t)) | (F.col("c") >= _shortfall("n", "high", t))).select("node", F.col("label").alias("cluster"))
+    return asked.where(F.col("c") >= _least_shortfall("n", "low", "high", t)).select("node", F.col("label").alias("cluster"))
 
 
 def _dealt(asked: DataFrame, info: DataFrame) -> DataFrame:

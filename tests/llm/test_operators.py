@@ -441,3 +441,19 @@ def test_components(spark, monkeypatch, edges_a_task):
     got = {r["node"]: r["label"] for r in c.components(spark.createDataFrame(edges, "x long, y long").repartition(5)).collect()}
     assert got == {v: find(v) for v in parent if got.get(v) is not None or find(v) != v}
     assert set(got) == {v for e in edges for v in e}
+
+
+def test_jaccard_bounds_are_safe():
+    """No pair of sizes within a range asks for fewer shared lists than the bound of the range."""
+    from fractions import Fraction
+    from math import ceil
+
+    p, q = 3, 4
+    t = Fraction(p, q)
+    exact = lambda a, b: (a + b) * p / (p + q) - max(ceil(t * a), ceil(t * b)) + 1
+    for n in range(1, 160):
+        sizes = range(ceil(t * n), n * q // p + 1)
+        for low in sizes:
+            for high in (h for h in sizes if h >= low):
+                bound = min((n + low) * p / (p + q) - ceil(t * n), (n + high) * p / (p + q) - (high * p + q - 1) / q) + 1
+                assert bound <= min(exact(n, m) for m in range(low, high + 1)) + 1e-9
