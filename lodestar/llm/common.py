@@ -61,6 +61,27 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """As cut, of rows that were repartitioned into parts by column: the table knows that, so joins on it leave them where they are."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    name = f"cut_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(name)
+    atexit.register(drop, spark, path)
+    return spark.table(name)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join on key, where right has one row a key with the number of left's rows that have it.
+
+    Keys that more than a 1,024th of left's rows have are at most 1,024: those rows of right are broadcast, so that no task gathers
+    the rows of a hot key; the others are joined by key.
+    """
+    hot = cut(right.where(F.col(rows) > left.count() // 1024))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table of the shared folder at the end of the application, if the session still lives."""
     try:

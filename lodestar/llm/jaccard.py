@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, by_block, messages, pack, split_by, unpack
-from .common import arrow_limits, block_count, cut, doc_words, grouped, mix, release, texts, trim, utf8
+from .common import arrow_limits, block_count, cut, cut_by, doc_words, grouped, join_spread, mix, release, texts, trim, utf8
 from .components import components
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
@@ -324,8 +324,8 @@ def _touches(t: Fraction, most: int = 1 << 20):
     return work
 
 
-#: N-grams of a component's nodes that are looked at together.
-BUCKET = 1 << 16
+#: N-grams of a cluster's nodes that are looked at together: some 4 MB of arrays.
+BUCKET = 1 << 18
 
 
 def _meet(t: Fraction):
@@ -371,8 +371,8 @@ def _meet(t: Fraction):
     return run
 
 
-def whole_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, packed set) of the wanted nodes, each from one document that stands for it."""
+def whole_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, words: int, parts: int) -> DataFrame:
+    """(node, packed set) of the wanted nodes, each from one document that stands for it; a table in parts by node, so joins on node don't move the sets."""
     mine = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
     one = base.join(wanted, "node").groupBy("node").agg(F.min(mine).alias("d")).select("node", F.col("d.doc_id").alias("i"), F.col("d.th").alias("h"))
 
@@ -393,7 +393,8 @@ def whole_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, words: int)
 
     packed = _hashed(docs).mapInArrow(shrink, "doc_id long, th long, z binary")
     found = packed.join(one, packed["doc_id"].eqNullSafe(one["i"]) & (packed["th"] == one["h"]))
-    return found.dropDuplicates(["node"]).select("node", "z").mapInArrow(sets, "node long, s binary")
+    found = found.select("node", "z").repartition(parts, "node").dropDuplicates(["node"])
+    return cut_by(found.mapInArrow(sets, "node long, s binary"), "node", parts)
 
 
 def verified(pairs: DataFrame, whole: DataFrame, t: Fraction) -> DataFrame:
@@ -439,7 +440,8 @@ def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy:
     base = both.where("kind = 0").select("doc_id", "n", "node", "th")
     often = both.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_DOCS).orderBy(F.desc("n"), "node").limit(heavy)
     last = np.sort(np.array([r["node"] for r in often.collect()], np.int64).view(np.uint64))
-    lists = cut(by_block(_postings(docs, words, t, last, blocks), _lists, "gram long, node long, n long"))
+    lists = by_block(_postings(docs, words, t, last, blocks), _lists, "gram long, node long, n long")
+    lists = cut_by(lists.repartition(blocks, "node"), "node", blocks)
     release(spark)
     block = F.pmod("gram", F.lit(blocks)).alias("block")
     # First the likeliest partners: partial overlaps of a third of the bound, the best few of each node. A node stands in
@@ -451,7 +453,7 @@ def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy:
     best = ends.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, near).alias("p"))
     first = cut(best.select(F.explode("p").alias("p")).select("p.x", "p.y").distinct())
     release(spark)
-    whole = cut(whole_sets(docs, base, _nodes_of(first), words))
+    whole = whole_sets(docs, base, _nodes_of(first), words, blocks)
     release(spark)
     links = cut(verified(first, whole, t))
     release(spark)
@@ -468,10 +470,10 @@ def linked(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy:
     release(spark)
     if not asked.limit(1).count():
         return base, labels
-    rows = cut(_dealt(asked, info))
-    more = cut(whole_sets(docs, base, rows.select("node").distinct().join(whole.select("node"), "node", "left_anti"), words))
+    rows = cut(_dealt(asked, info, t))
+    more = whole_sets(docs, base, rows.select("node").distinct().join(whole.select("node"), "node", "left_anti"), words, blocks)
     release(spark)
-    sets = rows.join(whole.unionByName(more), "node").select("cluster", "bucket", "kind", "node", "label", "s")
+    sets = rows.join(whole, "node").unionByName(rows.join(more, "node")).select("cluster", "bucket", "kind", "node", "label", "s")
     met = sets.repartition("cluster", "bucket").sortWithinPartitions("cluster", "bucket", "kind").mapInArrow(_meet(t), "x long, y long")
     links = cut(links.unionByName(cut(met)))
     release(spark)
@@ -489,20 +491,33 @@ def _asked(lists: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
     return asked.where(F.col("c") >= _least_shortfall("n", "low", "high", t)).select("node", F.col("label").alias("cluster"))
 
 
-def _dealt(asked: DataFrame, info: DataFrame) -> DataFrame:
-    """(cluster, bucket, kind, node, label): the clusters asked for in buckets, and every asker in each bucket."""
-    wanted = asked.select("cluster").distinct().join(info, "cluster").groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("grams") / F.lit(float(BUCKET)))).cast("int").alias("buckets"))
-    members = wanted.join(info, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col("buckets")).cast("int").alias("bucket"), F.lit(0).alias("kind"), "node", "label")
-    askers = asked.join(wanted, "cluster").join(info.select("node", "label"), "node").select("cluster", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(1).alias("kind"), "node", "label")
-    return members.unionByName(askers)
+def _dealt(asked: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
+    """(cluster, bucket, kind, node, label): the clusters asked for, by classes of size and in buckets, and every asker in the buckets of its class and the two beside it."""
+    # Sizes that may link differ by less than one class; the base is a little above 1 / t, so that rounding can't part them.
+    # The classes of what fits in one bucket stand together, as class 0, since every copy of an asker moves its set.
+    sized = info.withColumn("class", F.floor(F.log(F.col("grams").cast("double")) / F.lit(log(1.01 * t.denominator / t.numerator))) + 1)
+    asked = asked.join(info.groupBy("cluster").agg((F.sum("grams") > BUCKET).alias("parted")), "cluster")
+    both = asked.join(sized.select("node", "label", "class"), "node")
+    askers = both.withColumn("class", F.explode(F.when(F.col("parted"), F.sequence(F.col("class") - 1, F.col("class") + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    rows = sized.join(asked.select("cluster", "parted").distinct(), "cluster").withColumn("class", F.when(F.col("parted"), F.col("class")).otherwise(0))
+    wanted = rows.groupBy("cluster", "class").agg(F.greatest(F.lit(1), F.ceil(F.sum("grams") / F.lit(float(BUCKET)))).cast("long").alias("buckets"))
+    bucket = lambda k: (F.shiftleft(F.col("class").cast("long"), 32) + k).alias("bucket")
+    members = wanted.join(rows, ["cluster", "class"]).select("cluster", bucket(F.pmod(F.xxhash64("node"), F.col("buckets"))), F.lit(0).alias("kind"), "node", "label")
+    each = askers.join(wanted, ["cluster", "class"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
+    return members.unionByName(each.select("cluster", bucket(F.col("k")), F.lit(1).alias("kind"), "node", "label"))
 
 
 def join(docs: DataFrame, words: int = WORDS, t: Fraction = SIMILARITY, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base, labels = linked(docs, words, t, heavy)
-    told = base.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    least = told.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = told.join(least, "label", "left")
+    told = base.where("node IS NOT NULL")
+    nodes = told.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    nodes = cut(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "rows"))
+    least = nodes.groupBy("label").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("k"))
+    # Of a node with copies, or a component with nodes, by the million there are few: they go to the rows, not the rows to them.
+    found = join_spread(nodes.select("node", "label", "rows"), least, "label", "k").select("node", "least", "rows")
+    out = join_spread(told.select("doc_id", "n", "node"), found, "node", "rows")
+    out = out.unionByName(base.where("node IS NULL").select("doc_id", "n", "node", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("rows")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
