@@ -3,10 +3,12 @@
 The network (numpy, trained here from labelled spans that a seeded rule makes) reads overlapping windows.  A region's
 windows are reconciled globally: every character takes its scores from the window in which it stands most central,
 and one Viterbi pass over the whole region then decides.  A span must hold a trigger (a digit, ``@`` or a spelt-out
-at), so text without one near by has no added span by definition and isn't read by the network.  An added span must
+at), so text without one near by has no added span by definition and isn't read by the network.  Regions over 65,536
+characters are cut at the next line end or mark.  An added span must
 also pass its kind's test (digits, Luhn, parts to 255, a name and a dotted host) and not touch a base span.
 
-Defined results: null and empty texts have no spans; a text of any length is read as a whole, by regions; equal texts
+Defined results: null and empty texts have no spans; of equally good tag sequences the one with the lower tag numbers counts; an
+empty table gives no rows; a text of any length is read as a whole, by regions; equal texts
 get equal results; other columns are ignored (``masked`` keeps them).  Offsets are code points.
 """
 
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import pieces
 from .common import arrow_limits, texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -66,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind and start."""
     out = [(0, *x) for x in emails(text)]
     if DIGIT.search(text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for kind, pattern, least, most in ((2, CARD, 13, 19), (3, PHONE, 9, 15)):
             for m in pattern.finditer(text):
                 d = "".join(DIGIT.findall(m[0]))
@@ -249,7 +252,9 @@ def trained(hidden: int = 16, steps: int = 420, batch: int = 32, seed: int = 5)
 
 # ---------------------------------------------------------------- decoding
 
-TRIGGER = re.compile(r"[0-9@]|[\[({<] ?at ?[\])}>]| at (?=\S{1,60} dot )", re.I)
+TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]|\sat\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]|\s*[\[({<]\s?dot\s?[\])}>]|\s+dot\s))", re.I)
+#: A longer region ends at the next line or mark, which no span holds, so what is decoded at once has a bound in any text with lines or marks.
+REGION, CUT = 1 << 16, re.compile(r"\n|(?<=[,;:!?]) ")
 ALLOWED = np.zeros((TAGS, TAGS))
 for _k in range(len(KINDS)):
     ALLOWED[:, 2 + 2 * _k] = -1e9
@@ -266,7 +271,15 @@ def regions(text: str) -> list[tuple[int, int]]:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
-    return out
+    if not any(b - a > REGION for a, b in out):
+        return out
+    cut: list[tuple[int, int]] = []
+    for a, b in out:
+        while b - a > REGION and (m := CUT.search(text, a + REGION, b)):
+            cut.append((a, m.end()))
+            a = m.end()
+        cut.append((a, b))
+    return cut
 
 
 def region_scores(net: Net, xs: list[np.ndarray]) -> list[np.ndarray]:
@@ -302,8 +315,12 @@ def viterbi(net: Net, scores: list[np.ndarray]) -> list[np.ndarray]:
     t = net.p["t"] + ALLOWED
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(scores)
     order = sorted(range(len(scores)), key=lambda k: len(scores[k]))
-    for a in range(0, len(order), 256):
-        group = order[a : a + 256]
+    a = 0
+    while a < len(order):
+        b = a + 1  # as many as have 2^18 characters together, each counted as long as the longest
+        while b < len(order) and (b + 1 - a) * len(scores[order[b]]) <= 1 << 18:
+            b += 1
+        group, a = order[a:b], b
         size = np.array([len(scores[k]) for k in group])
         length = int(size.max())
         e = np.zeros((len(group), length, TAGS))
@@ -327,7 +344,8 @@ def viterbi(net: Net, scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-SPELT = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
+#: A name and a host of parts; after a plain "at" parts are joined by a dot without space, a bracketed or a plain "dot".
+SPELT = re.compile(r"[A-Za-z0-9._%+-]+(?:\s*(?:@|[\[({<]\s?at\s?[\])}>])\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s)\s*[A-Za-z0-9-]+)+|\s+at\s+[A-Za-z0-9-]+(?:(?:\.|\s*[\[({<]\s?dot\s?[\])}>]\s*|\s+dot\s+)[A-Za-z0-9-]+)+)", re.I)
 
 
 def passes(kind: int, s: str) -> bool:
@@ -352,9 +370,8 @@ def find(values: list[str], net: Net) -> list[tuple[list[tuple[int, int, int]],
             places.append((k, a))
             xs.append(classes(v[a:b]))
     added: list[list[tuple[int, int, int]]] = [[] for _ in values]
-    step = 2000
-    for c in range(0, len(xs), step):
-        for (k, a), tags in zip(places[c : c + step], viterbi(net, region_scores(net, xs[c : c + step])), strict=True):
+    for c, d in pieces(np.array([len(x) for x in xs], np.int64), 1 << 18):
+        for (k, a), tags in zip(places[c:d], viterbi(net, region_scores(net, xs[c:d])), strict=True):
             at = 0
             while at < len(tags):
                 if tags[at] % 2:

@@ -457,3 +457,37 @@ def test_jaccard_bounds_are_safe():
             for high in (h for h in sizes if h >= low):
                 bound = min((n + low) * p / (p + q) - ceil(t * n), (n + high) * p / (p + q) - (high * p + q - 1) / q) + 1
                 assert bound <= min(exact(n, m) for m in range(low, high + 1)) + 1e-9
+
+
+@pytest.mark.parametrize("size", [600, 900, 1500, 3000, 6000, 10000, 30000])
+def test_bands_by_length(spark, small, size):
+    """From 1,500 bytes on random letters and text half of one sentence go; good documents stay at every length."""
+    import zstandard
+
+    packer, bands, rng = zstandard.ZstdCompressor(level=3), quality.Bands(), random.Random(size)
+    good = {r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").collect()}
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL").collect() if r["doc_id"] in good and not cases.quality(r["text"])[-1]]
+    verdict = lambda t: quality.in_bands(len(t), *quality.ratios(t, bands, packer), bands)
+    assert texts and all(verdict(t.encode()) for t in texts)
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(size // 9)).encode()
+    words = sorted({w for t in texts for w in t.split()})
+    prose = " ".join(rng.choice(words) for _ in range(size))[: size // 2].encode()
+    again = b" ".join(prose.split()[:12]) + b" "
+    half = prose + b" " + again * (size // 2 // len(again))
+    assert size < 1500 or not verdict(half) and not verdict(letters)
+
+
+def test_pii_long_numbers():
+    net = pii.trained()
+    (base, _), = pii.find(["0" * 5000 + ".0.0.1 and 1.2.3." + "9" * 5000], net)
+    assert [(k, b - a) for k, a, b in base] == [(1, 5006)]
+    table = "\n".join(f"row {k}, 4111 1111 1111 1111; 10.0.{k % 256}.7" for k in range(6000))
+    (base, _), *rest = pii.find([table, *["call 555 12"] * 255], net)
+    assert sum(k == 2 for k, _, _ in base) == 6000 and sum(k == 1 for k, _, _ in base) == 6000
+    assert all(b - a <= pii.REGION + 200 for a, b in pii.regions(table))
+
+
+def test_pii_reads_what_it_may_accept():
+    for s in ("jo.doe at\tmail.example.com", "jo.doe  at  mail.example.com", "jo.doe at mail dot com", "jo ( at ) mail ( dot ) com", "jo\nat\nmail dot com"):
+        assert pii.passes(0, s) and pii.regions("x" * 99 + " " + s), s
+    assert not pii.passes(0, "meet at home. Then") and not pii.regions("meet at home. Then")
