@@ -44,10 +44,11 @@ def block_count(docs: DataFrame) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), under a local temporary folder."""
+    """A new folder under spark.checkpoint.dir; only where that is unset and the session is local (tests), under a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/lodestar-checkpoints"
+    if not root and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or f"file://{tempfile.gettempdir()}/lodestar-checkpoints"
     return f"{root.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
 
 

@@ -32,7 +32,7 @@ class Bands:
 
     The limits follow the ratios of documents labelled good, which grow with the length (medians 1.61 at 512 bytes, 1.87 at 1,024,
     2.03, 2.16, 2.26, 2.34, and 2.45 at 32,768; all of 3,243 such documents lie within 0.26 of that curve): the least ratio is 0.3
-    below it, which random letters miss from some 1,500 bytes on; the greatest is 0.8 to 1.2 above it, which text that is half
+    below it, which random letters miss from 1,500 to 3,000 bytes on; the greatest is 0.8 to 1.2 above it, which text that is half
     one repeated sentence exceeds from about that length on.  Under 512 bytes there are few labels and the band is wide.
     """
 
