@@ -11,7 +11,8 @@ bytes came before as a whole is matched as one, and one whose minimiser no other
 
 Defined results: null and empty texts have 0 bytes and the hash of the empty string; texts under ``length`` bytes keep
 all; documents with the same id don't remove from each other, and each row is judged by its own text; a null id counts as
-greater than all others (so does the greatest long, which comes back as null); other columns are ignored.
+greater than all others, as the same id as the greatest long; ties can't change a result, since every window is judged by
+ids alone; a text of any length is judged whole, by overlapping slices; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,17 +112,17 @@ def slices(values: list[bytes], length: int = LENGTH, size: int = SLICE) -> Iter
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"), F.col("doc_id").isNull().alias("nul"))
 
 
 def _zipped(keyed: DataFrame) -> DataFrame:
-    """key, th and the text packed for the exchange."""
+    """key, th, whether the id is null, and the text packed for the exchange."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packer.compress(t) for t in utf8(b.column(2))], pa.binary())], names=["key", "th", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packer.compress(t) for t in utf8(b.column(2))], pa.binary()), b.column(3)], names=["key", "th", "z", "nul"])
 
-    return keyed.mapInArrow(run, "key long, th long, z binary")
+    return keyed.mapInArrow(run, "key long, th long, z binary, nul boolean")
 
 
 def _anchors(keyed: DataFrame, blocks: int, length: int) -> DataFrame:
@@ -374,7 +375,7 @@ def spans_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, th, z (packed text), parts (array of packed spans, null if none): what removal and digests are made from."""
+    """key, th, z (packed text), nul (no id), parts (array of packed spans, null if none): what removal and digests are made from."""
     spark = docs.sparkSession
     arrow_limits(spark)
     blocks = block_count(docs)
@@ -411,10 +412,10 @@ def _rows(b: pa.RecordBatch, last, types: list[pa.DataType], names: list[str]) -
     opener = zstandard.ZstdDecompressor()
     rows = []
     none = np.empty(0, np.int64)
-    for key, z, parts in zip(b.column("key").to_pylist(), b.column("z").to_pylist(), b.column("parts").to_pylist(), strict=True):
+    for key, nul, z, parts in zip(*(b.column(c).to_pylist() for c in ("key", "nul", "z", "parts")), strict=True):
         text = opener.decompress(z)
         s, e = spans_of(parts) if parts else (none, none)
         kept = b"".join([text[a:c] for a, c in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True)]) if len(s) else text
-        rows.append((None if key == LAST else key, len(text), len(text) - len(kept), len(s), *last(kept, s, e)))
+        rows.append((None if nul else key, len(text), len(text) - len(kept), len(s), *last(kept, s, e)))
     cols = zip(*rows, strict=True) if rows else [()] * (4 + len(types))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", *names])
