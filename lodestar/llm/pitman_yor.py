@@ -16,8 +16,9 @@ A binomial draw seats several customers of a dish at once when it has many, so a
 dish's count.  Words are 64-bit hashes; as dishes 48 bits of them.
 
 Defined results: null and empty texts are the end token alone; a null id counts as a training row; repeated rows
-count as often as they come when learning and are scored each; without training rows every word is unknown; other
-columns are ignored.
+count as often as they come when learning and are scored each; texts are told apart by their id and a 64-bit hash; without
+training rows every word is unknown; a text of any length is taken whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def _rows(docs: DataFrame, s: Settings) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     held = F.coalesce(F.pmod(doc_hash(), F.lit(s.training_residues)) == 2, F.lit(False))
-    return d.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("int").alias("th"), held.alias("held"), "text")
+    return d.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.xxhash64("text").alias("th"), held.alias("held"), "text", F.col("doc_id").isNull().alias("nul"))
 
 
 def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
@@ -137,7 +138,7 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
     for b in batches:
         values = utf8(b.column(3))
-        parts.append((np.array(b.column(0).to_pylist(), np.int64), np.array(b.column(1).to_pylist(), np.int32), np.array(b.column(2).to_pylist(), bool), values))
+        parts.append((np.array(b.column(0).to_pylist(), np.int64), np.array(b.column(1).to_pylist(), np.int64), np.array(b.column(2).to_pylist(), bool), values))
         size += sum(map(len, values))
         if size > FLUSH_TEXT:
             yield out()
@@ -372,7 +373,7 @@ class State:
 def _sum_batches(texts: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for a in range(0, texts.shape[1], 1 << 15):
         z = slice(a, a + (1 << 15))
-        yield pa.RecordBatch.from_arrays([pa.array(texts[0][z], pa.int64()), pa.array(texts[1][z].astype(np.int32), pa.int32()), *(pa.array(v[z].astype(ty.to_pandas_dtype()), ty) for v, ty in zip(cols, (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["key", "th", "score", "lb", "known", "tokens", "ends"])
+        yield pa.RecordBatch.from_arrays([pa.array(texts[0][z], pa.int64()), pa.array(texts[1][z], pa.int64()), *(pa.array(v[z].astype(ty.to_pandas_dtype()), ty) for v, ty in zip(cols, (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["key", "th", "score", "lb", "known", "tokens", "ends"])
 
 
 def _scored(state: State, s: Settings):
@@ -382,7 +383,7 @@ def _scored(state: State, s: Settings):
         sent = [p for p in parts if p[0][0] == 3]
         for p in parts:
             if p[0][0] == 4:
-                yield from _sum_batches(np.stack((p[1], p[2].astype(np.int64))), p[3:])
+                yield from _sum_batches(np.stack((p[1], p[2])), p[3:])
         if not sent:
             return
         u = np.concatenate([np.repeat(p[1], p[2]) for p in sent])
@@ -440,7 +441,7 @@ def _scored(state: State, s: Settings):
         c = known[who]
         is_word = tu != BEGIN
         lb = np.where(is_word, np.log10(c + 1), 0.0)
-        texts, to = np.unique(np.stack((key, th.astype(np.int64))), axis=1, return_inverse=True)
+        texts, to = np.unique(np.stack((key, th)), axis=1, return_inverse=True)
         to = to.ravel()[text]
         k = texts.shape[1]
         cols = [np.bincount(to, score[kind], k), np.bincount(to, lb[kind], k), np.bincount(to, (is_word & (c > 0))[kind], k).astype(np.int64), np.bincount(to, minlength=k), np.bincount(to, w == dishes48(np.array([END]))[0], k).astype(np.int64)]
@@ -454,7 +455,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = _rows(docs, s)
-    light = rows.select("key", "th", "held").groupBy("key", "th", "held").agg(F.count(F.lit(1)).alias("rows"))
+    light = rows.select("key", "nul", "th", "held").groupBy("key", "nul", "th", "held").agg(F.count(F.lit(1)).alias("rows"))
     size, taught = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()
     blocks = int(min(MAX_BLOCKS, max(MIN_BLOCKS, size // BLOCK_TEXT)))
     hot, total = hot_contexts(rows, blocks)
@@ -464,7 +465,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     told = cut(by_block(asked, _parent(blocks, s), MESSAGE))
     release(spark)
     state = _state(told, taught, hot, blocks, s)
-    sums = by_block(_token_messages(rows, blocks, state).unionByName(told.where("block >= 0")), _scored(state, s), "key long, th int, score double, lb double, known long, tokens long, ends long")
+    sums = by_block(_token_messages(rows, blocks, state).unionByName(told.where("block >= 0")), _scored(state, s), "key long, th long, score double, lb double, known long, tokens long, ends long")
     sums = sums.groupBy("key", "th").agg(*(F.sum(c).alias(c) for c in ("score", "lb", "known", "tokens", "ends")))
     # Each row has one end, so ends tell how often the row came.
     end_lb = float(np.log10(taught + 1))
@@ -472,7 +473,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     n = (F.col("tokens") / F.col("ends")).cast("long")
     out = light.join(sums, ["key", "th"]).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(
-        F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"),
+        F.when(~F.col("nul"), F.col("key")).alias("doc_id"),
         F.col("held").alias("held_out"),
         n.alias("n_tokens"),
         (each("known").cast("long") + F.lit(1 if taught else 0)).alias("n_known"),
