@@ -1,9 +1,9 @@
 """Token counts: the tokenizers library encodes batches inside Arrow functions and only lengths come back.
 
 Rows of a batch are dealt to calls by bytes, so that no call holds much more than ``call_bytes`` of text.  A text longer
-than that is split at safe boundaries: an ASCII letter, digit or mark followed by one space and an ASCII letter.  The
-pre-tokeniser ``\\p{L}+ | \\p{N}+ | other`` always ends there, since a single space belongs to the word after it, so the
-parts' tokens are the text's tokens.  A cut is never made inside or next to an added special token's string.
+than that is split at safe boundaries: a letter, digit or mark followed by one space and a letter, or a full-width mark
+followed by a letter.  The pre-tokeniser ``\\p{L}+ | \\p{N}+ | other`` always ends there, since a single space belongs to the
+word after it, so the parts' tokens are the text's tokens.  A cut is never made inside or next to an added special token's string.
 
 Defined results: null counts as the empty text (0 tokens); a stretch without a safe boundary stays whole; equal rows
 give equal results; other columns are ignored.  Special strings inside texts are taken as the library takes them.
@@ -24,8 +24,9 @@ from .common import arrow_limits, texts
 
 CALL_BYTES = 1 << 18
 LIMIT = 1024
-#: A place before a single space between plain ASCII characters that no special string of the vocabularies holds.
-SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?= [A-Za-z])")
+#: A place before a single space between a letter, digit or mark and a letter, or after a full-width mark and before a letter;
+#: no special string of the vocabularies holds one.
+SAFE = re.compile(r"(?<=[^\W_]|[.,;:!?])(?= [^\W\d_])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[^\W\d_])")
 
 
 @cache
@@ -51,14 +52,15 @@ def split_safely(text: str, size: int) -> list[str]:
 
 
 def balanced(parts: list[str], limit: int) -> Iterator[list[str]]:
-    """Calls of about equal bytes: what is longest goes first, so that a call's texts are alike in length."""
+    """Calls of about limit bytes (of UTF-8): what is longest goes first, so that a call's texts are alike in length."""
     call, size = [], 0
     for p in parts:
-        if call and size + len(p) > limit:
+        n = len(p.encode())
+        if call and size + n > limit:
             yield call
             call, size = [], 0
         call.append(p)
-        size += len(p)
+        size += n
     if call:
         yield call
 

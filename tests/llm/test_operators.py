@@ -491,3 +491,25 @@ def test_pii_reads_what_it_may_accept():
     for s in ("jo.doe at\tmail.example.com", "jo.doe  at  mail.example.com", "jo.doe at mail dot com", "jo ( at ) mail ( dot ) com", "jo\nat\nmail dot com"):
         assert pii.passes(0, s) and pii.regions("x" * 99 + " " + s), s
     assert not pii.passes(0, "meet at home. Then") and not pii.regions("meet at home. Then")
+
+
+def test_greatest_id_is_not_null(spark):
+    """2^63-1 is an id; null ids with different texts stay apart."""
+    last = 2**63 - 1
+    made = [(1, "a b c " * 30), (last, "a b c " * 30), (None, "a b c " * 30), (None, "x y z"), (last, "other words")]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digests(d).collect()), key=repr)
+    assert got == sorted([(1, 180, 0), (last, 180, 180), (None, 180, 180), (None, 5, 0), (last, 11, 0)], key=repr)
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in pitman_yor.score(d).collect()), key=repr)
+    assert got == sorted([(1, 91), (last, 91), (None, 91), (None, 4), (last, 3)], key=repr)
+
+
+def test_token_split_beyond_ascii():
+    t = token_counts.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    for _ in range(80):
+        x = "".join(rng.choice(["été", " ", "中文", "。", "，", " д", "²", "'s", "ß ä", "́", " 1", "\n"]) for _ in range(300))
+        parts = token_counts.split_safely(x, 40)
+        assert "".join(parts) == x and len(parts) > 3
+        assert sum(len(t.encode(p, add_special_tokens=False)) for p in parts) == len(t.encode(x, add_special_tokens=False))
+    assert [len("".join(c).encode()) <= 40 or len(c) == 1 for c in token_counts.balanced(["é" * 15] * 5, 40)] == [True] * 5
