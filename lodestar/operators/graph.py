@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -317,44 +316,74 @@ def module_entries(labels: DataFrame, nodes: DataFrame, calls: DataFrame, k: int
     return free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("community", "rank", "id", "out_degree")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, community by distributed local moving: every node goes to the community around it that raises modularity most.
+#: Fixed value: pairs of neighbours up to which a graph is finished in one task (some 100 MB there).
+ONE_TASK_PAIRS = 1_000_000
 
-    Ties go to the least label, and nodes move in alternate halves by hash, so that neighbours don't swap for ever.
+
+def communities(edges: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
+    """id, community by greedy modularity: local moving and aggregation until modularity stops growing; a community's name is its least id.
+
+    A graph over ``one_task`` pairs is moved by joins and aggregated, level by level; once it is that small, one task does the rest.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    both = cut(both.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    total = both.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("t")).first()["t"] or 1.0
-    degree = cut(both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree")))
+    pairs = cut(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    member = pairs.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
+    while True:
+        small = pairs.count() <= one_task
+        labels = _in_one_task(pairs) if small else _local_moves(pairs)
+        level = labels.select(F.col("id").alias("community"), F.col("community").alias("new"))
+        member = cut(member.join(level, "community").select("id", F.col("new").alias("community")))
+        if small or not labels.where("id <> community").limit(1).count():
+            break
+        a, b = (labels.select(F.col("id").alias(x), F.col("community").alias(f"{x}2")) for x in "ab")
+        pairs = cut(pairs.join(a, "a").join(b, "b").groupBy(F.col("a2").alias("a"), F.col("b2").alias("b")).agg(F.sum("weight").alias("weight")))
+    least = member.groupBy("community").agg(F.min("id").alias("least"))
+    return member.join(least, "community").select("id", F.col("least").alias("community"))
+
+
+def _local_moves(pairs: DataFrame) -> DataFrame:
+    """id, community: nodes move, in alternate halves by hash, to the community around them that raises modularity most, ties to the least.
+
+    Ends when neither half has raised modularity; the labels with the highest count, since nodes that move at once may lower it.
+    """
+    sums = pairs.agg(F.sum("weight").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("own")).first()
+    total = sums["t"] or 1.0
+    degree = cut(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree")))
     labels = cut(degree.select("id", F.col("id").alias("community")))
-    for turn in range(rounds):
-        mass = labels.join(degree, "id").groupBy("community").agg(F.sum("degree").alias("mass"))
-        votes = both.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("weight").alias("w"))
-        now = labels.select("id", F.col("community").alias("now"))
-        votes = votes.join(mass, "community").join(degree, "id").join(now, "id")
+    best, top, turn, still = labels, None, 0, 0
+    while True:
+        mass = cut(labels.join(degree, "id").groupBy("community").agg(F.sum("degree").alias("mass")))
+        votes = pairs.where("a <> b").join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("weight").alias("w"))
+        votes = cut(votes.join(labels.select("id", F.col("community").alias("now")), "id"))
+        inside = votes.where("community = now").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()["w"] + (sums["own"] or 0.0)
+        q = inside / total - (mass.agg(F.sum(F.pow(F.col("mass") / total, 2)).alias("s")).first()["s"] or 0.0)
+        if top is None or q > top + 1e-9:
+            best, top, still = labels, q, 0
+        else:
+            still += 1
+        if still == 2:
+            return best
         rest = F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("degree")).otherwise(0.0)
-        votes = votes.withColumn("gain", F.col("w") - rest * F.col("degree") / total)
-        won = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.round("gain", 9), "community")).alias("won"), F.max("gain").alias("gain"))
+        gains = votes.join(mass, "community").join(degree, "id").withColumn("gain", F.col("w") - rest * F.col("degree") / total)
+        won = gains.groupBy("id").agg(F.min_by("community", F.struct(-F.round("gain", 9), "community")).alias("won"), F.max("gain").alias("gain"))
         move = (F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2) & (F.col("gain") > 0)
-        new = cut(labels.join(won, "id", "left").select("id", F.col("community").alias("old"), F.when(move, F.col("won")).otherwise(F.col("community")).alias("community")))
-        labels = new.select("id", "community")
-        if turn and not new.where("old <> community").limit(1).count():
-            break
-    return labels
+        labels = cut(labels.join(won, "id", "left").select("id", F.when(move, F.col("won")).otherwise(F.col("community")).alias("community")))
+        turn += 1
 
 
-def louvain(edges: DataFrame, seed_order: bool = True) -> DataFrame:
-    """id, community by greedy modularity in one task: for the graph of one repository, whose edges fit a task."""
-    kind = edges.schema["src"].dataType.simpleString()
+def _in_one_task(pairs: DataFrame) -> DataFrame:
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            e = pd.concat(parts)
-            found = best_modularity(list(zip(e["src"], e["dst"], e["weight"], strict=True)))
+            e = pd.concat(parts).sort_values(["a", "b"])
+            found = best_modularity(list(zip(e["a"], e["b"], e["weight"], strict=True)))
             yield pd.DataFrame(sorted(found.items()), columns=["id", "community"])
 
-    return edges.select("src", "dst", "weight").coalesce(1).mapInPandas(run, f"id {kind}, community {kind}")
+    # Every pair stands in pairs twice, a node's own weight doubled: halves make them whole again.
+    once = pairs.where("a <= b").select("a", "b", F.when(F.col("a") == F.col("b"), F.col("weight") / 2).otherwise(F.col("weight")).alias("weight"))
+    return cut(once.coalesce(1).mapInPandas(run, f"id {kind}, community {kind}"))
 
 
 def best_modularity(edges: list[tuple]) -> dict:
@@ -460,8 +489,3 @@ def chain_stats(results: DataFrame, calls: DataFrame) -> DataFrame:
     row = results.join(called, "id", "left").agg(F.count(F.lit(1)).alias("functions"), F.count_if(F.col("called").isNull()).alias("entry_points"), F.count_if("is_bridge").alias("bridges"))
     # One row beside one row.
     return row.join(inner.agg(F.count(F.lit(1)).alias("internal_calls")), F.lit(True)).select("functions", "entry_points", "internal_calls", "bridges")
-
-
-def least_edge_weight() -> float:
-    """The least weight an edge can have: a callee called once, from its own class."""
-    return (log(2) + 1) * 0.5

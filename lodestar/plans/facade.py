@@ -99,7 +99,7 @@ class Index:
         """Communities of the graph, each under its commonest file, with entry points; by file where there are none."""
         nodes = self.nodes().where(~F.col("test"))
         calls = graph.known_calls(self.calls(), nodes)
-        labels = graph.louvain(graph.weighted_edges(calls, nodes))
+        labels = graph.communities(graph.weighted_edges(calls, nodes))
         named = graph.dominant_files(labels, nodes)
         by_file = labels.join(named, "community").select("id", F.col("file").alias("community"))
         if not by_file.limit(1).count():

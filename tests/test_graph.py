@@ -117,12 +117,23 @@ def test_descendants_and_stats(spark):
 def test_communities(spark):
     e = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xy" for i in range(5) for j in range(i)] + [("x0", "y0", 1.0)]
     df = spark.createDataFrame(e, "src string, dst string, weight double")
-    for labels in (graph.louvain(df), graph.communities(df)):
+    for labels in (graph.communities(df), graph.communities(df, one_task=0)):
         got = {r["id"]: r["community"] for r in labels.collect()}
         assert len({got[f"x{i}"] for i in range(5)}) == 1 and len({got[f"y{i}"] for i in range(5)}) == 1 and got["x1"] != got["y1"]
         assert graph.modularity(labels, df) > 0.4
 
 
+def test_communities_run_to_their_end(spark):
+    """Rings of cliques: both ways reach the cliques, however many rounds that takes."""
+    e = [(10 * g + i, 10 * g + j, 1.0) for g in range(12) for i in range(5) for j in range(i)] + [(10 * g, 10 * ((g + 1) % 12) + 1, 0.5) for g in range(12)]
+    df = spark.createDataFrame(e, "src long, dst long, weight double")
+    for labels in (graph.communities(df), graph.communities(df, one_task=0)):
+        got = {r["id"]: r["community"] for r in labels.collect()}
+        assert all(got[10 * g + i] == got[10 * g] for g in range(12) for i in range(5))
+        assert all(got[c] == c for c in got.values())
+        assert graph.modularity(labels, df) > 0.7
+
+
 def test_topological(spark):
     rows = spark.createDataFrame([("c", k, i, 0.5, False) for k, i in enumerate("dbca")], "chain string, pos int, id string, similarity double, is_bridge boolean")
     got = as_chains(graph.topological(rows, edges(spark, "a>c b;b>d;c>d")))
