@@ -587,3 +587,98 @@ def q49_embedding(spark, sf_dir):
     SELECT id, round(len(list_intersect(ws, ts))::DOUBLE / len(ws), 4) AS similarity FROM d, w""")
 def q50_rerank(spark, sf_dir):
     return embedding.reranked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")), QUERY)
+
+
+def _resolved(files: DataFrame, exports: DataFrame | None = None) -> DataFrame:
+    """id, calls of the functions in files(path, content)."""
+    rows = parse.parsed(files)
+    none = files.sparkSession.createDataFrame([], "export_key string, real_path string")
+    sub = symbols.sub_paths(files.select(names.module_of(F.col("path")).alias("module")))
+    done = resolve.resolved(parse.functions_of(rows), parse.classes_of(rows), parse.known_imports(parse.imports_of(rows), sub), exports if exports is not None else none)
+    return done.select("id", F.array_join("calls", ",").alias("calls"))
+
+
+def _expected(*rows: tuple[str, str]) -> str:
+    """SQL of one row a part for each (id, calls); KEY is the part's key."""
+    put = lambda t: "replace('" + t + "', 'KEY', CAST(p_partkey AS VARCHAR))"
+    return " UNION ALL ".join(f"SELECT {put(i)} AS id, {put(c)} AS calls FROM part" for i, c in rows)
+
+
+@query("""WITH p AS (SELECT 'lib.p' || p_partkey AS m, CAST(p_size AS VARCHAR) AS s FROM part), x AS (SELECT m, s, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos FROM p)
+    SELECT m || '.f' AS id, pos, ['a', 'b', NULL, 'c', '*args', 'd', 'e', '**kw'][pos + 1] AS name, [NULL, 'int', NULL, NULL, 'str', NULL, 'list[int]', 'float'][pos + 1] AS type, [NULL, s, NULL, '"x' || s || '"', NULL, NULL, 'None', NULL][pos + 1] AS value FROM x
+    UNION ALL SELECT m || '.g', pos, ['p', NULL, 'q'][pos + 1], NULL, [NULL, NULL, s][pos + 1] FROM x WHERE pos < 3""")
+def q51_parameters(spark, sf_dir):
+    files = _sources(spark, sf_dir, 'def f(a, b: int = SIZE, /, c="xSIZE", *args: str, d, e: list[int] = None, **kw: float):\n    pass\n\nasync def g(p, *, q=SIZE):\n    pass\n')
+    rows = parse.functions_of(parse.parsed(files)).select("id", F.posexplode("parameters").alias("pos", "p"))
+    return rows.select("id", "pos", "p.name", "p.type", "p.value")
+
+
+@query("""WITH p AS (SELECT 'lib.p' || p_partkey AS m, CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS s FROM part), d AS (SELECT *, 'About ' || s || '.' AS doc FROM p)
+    SELECT m || '.C' || k || '.run' AS id, 'C' || k AS class_name, NULL AS nested, 'staticmethod;deco(' || s || ')' AS decorators, doc AS module_docstring, repeat('"', 3) || 'Class ' || s || '.' || repeat('"', 3) AS class_docstring FROM d
+    UNION ALL SELECT m || '.C' || k || '.run.inner', 'C' || k, 'run', '', doc, repeat('"', 3) || 'Class ' || s || '.' || repeat('"', 3) FROM d UNION ALL SELECT m || '.top', NULL, NULL, '', doc, NULL FROM d UNION ALL SELECT m || '.top.low', NULL, 'top', '', doc, NULL FROM d""")
+def q52_context(spark, sf_dir):
+    files = _sources(spark, sf_dir, '"""About SIZE."""\n\nclass CKEY:\n    """Class SIZE."""\n    @staticmethod\n    @deco(SIZE)\n    def run():\n        def inner():\n            pass\n\nasync def top():\n    def low():\n        pass\n')
+    rows = parse.functions_of(parse.parsed(files))
+    return rows.select("id", "class_name", "nested", F.array_join("decorators", ";").alias("decorators"), "module_docstring", "class_docstring")
+
+
+@query("""WITH p AS (SELECT 'lib/p' || p_partkey || '.py' AS file_path, CAST(p_partkey AS VARCHAR) AS k FROM part) SELECT file_path, unnest(['np' || k, 'c', 'e' || k, 'x', 'y' || k, 'z' || k, 'w' || k]) AS alias, unnest(['numpy', 'a.b.c', 'a.b.d', 'lib.sib.x', 'up.y' || k, 'lib.z' || k, 'late.w' || k]) AS target FROM p""")
+def q53_imports(spark, sf_dir):
+    files = _sources(spark, sf_dir, "import os\nimport numpy as npKEY\nfrom a.b import c, d as eKEY\nfrom .sib import x\nfrom ..up import yKEY\nfrom . import zKEY\nfrom ... import far\nfrom m import *\n\ndef f():\n    from late import wKEY\n")
+    return parse.imports_of(parse.parsed(files)).select("file_path", "alias", "target")
+
+
+@query("""SELECT 'lib.p' || p_partkey || '.C.run' AS id, 'open_' || p_size || ',apply,handle_' || p_partkey || ',mod.hook_' || p_size || ',rank_' || p_size || ',self.on_done' AS calls, 'open_' || p_size AS type_of_fh FROM part""")
+def q54_references(spark, sf_dir):
+    files = _sources(spark, sf_dir, "class C:\n    def run(self, items, cb):\n        with open_SIZE(items) as fh:\n            apply(cb, handle_KEY, mod.hook_SIZE, key=rank_SIZE, other=skip)\n        return self.on_done, self.limit > SIZE\n")
+    f = F.col("functions")[0]
+    return parse.parsed(files).select(f["id"].alias("id"), F.array_join(f["calls"], ",").alias("calls"), f["var_types"]["fh"][0].alias("type_of_fh"))
+
+
+@query(_expected(("lib.pKEY.BaseKEY.go", "lib.pKEY.BaseKEY.get_it"), ("lib.pKEY.BaseKEY.get_it", ""), ("lib.pKEY.SubKEY.go", "lib.pKEY.BaseKEY.go,lib.pKEY.SubKEY.get_it"), ("lib.pKEY.SubKEY.get_it", "")))
+def q55_super(spark, sf_dir):
+    """The parent's method, and the child's override of what that calls on self."""
+    return _resolved(_sources(spark, sf_dir, "class BaseKEY:\n    def go(self):\n        self.get_it()\n    def get_it(self):\n        pass\n\nclass SubKEY(BaseKEY):\n    def go(self):\n        super().go()\n    def get_it(self):\n        pass\n"))
+
+
+@query(_expected(("lib.pKEY.CKEY.__init__", ""), ("lib.pKEY.CKEY.make", "lib.pKEY.CKEY.load,lib.pKEY.CKEY.__init__"), ("lib.pKEY.CKEY.load", "")))
+def q56_cls(spark, sf_dir):
+    return _resolved(_sources(spark, sf_dir, "class CKEY:\n    def __init__(self):\n        pass\n    @classmethod\n    def make(cls):\n        cls.load()\n        return cls()\n    @classmethod\n    def load(cls):\n        pass\n"))
+
+
+@query(_expected(("lib.pKEY.WKEY.__init__", ""), ("lib.pKEY.WKEY.spin", ""), ("lib.pKEY.VKEY.__init__", ""), ("lib.pKEY.VKEY.spin", ""), ("lib.pKEY.all_KEY", ""), ("lib.pKEY.use_KEY", "lib.pKEY.WKEY.__init__,lib.pKEY.WKEY.spin,lib.pKEY.all_KEY,lib.pKEY.WKEY.spin,lib.pKEY.WKEY.__init__,lib.pKEY.VKEY.__init__")))
+def q57_variables(spark, sf_dir):
+    """Variables of a known type, items of a call's annotated result, a class chosen by a condition."""
+    classes = "".join(f"class {c}KEY:\n    def __init__(self):\n        pass\n    def spin(self):\n        pass\n\n" for c in "WV")
+    return _resolved(_sources(spark, sf_dir, classes + "def all_KEY() -> list[WKEY]:\n    pass\n\ndef use_KEY(flag):\n    v = WKEY()\n    v.spin()\n    for u in all_KEY():\n        u.spin()\n    g = WKEY if flag else VKEY\n    g()\n"))
+
+
+@query(_expected(("lib.pKEY.use_KEY", "lib.qKEY.help_KEY,lib.qKEY.TKEY.__init__,lib.qKEY.help_KEY,lib.gKEY.impl.real_KEY"), ("lib.qKEY.help_KEY", ""), ("lib.qKEY.TKEY.__init__", ""), ("lib.gKEY.impl.real_KEY", "")))
+def q58_imported_calls(spark, sf_dir):
+    """Imports under another name, of a class, of a module, and through a package's re-export."""
+    at = lambda path, text: _sources(spark, sf_dir, text).withColumn("path", F.regexp_replace("path", r"^lib/p(\d+)\.py$", path))
+    use = at("lib/p$1.py", "from lib.qKEY import help_KEY as h_KEY, TKEY as UKEY\nfrom lib import qKEY as qq\nfrom lib.gKEY import shown_KEY as s_KEY\n\ndef use_KEY():\n    h_KEY()\n    UKEY()\n    qq.help_KEY()\n    s_KEY()\n")
+    files = use.unionByName(at("lib/q$1.py", "def help_KEY():\n    pass\n\nclass TKEY:\n    def __init__(self):\n        pass\n"))
+    files = files.unionByName(at("lib/g$1/__init__.py", "from .impl import real_KEY as shown_KEY\n")).unionByName(at("lib/g$1/impl.py", "def real_KEY():\n    pass\n"))
+    return _resolved(files, symbols.package_exports(files))
+
+
+@query(_expected(("lib.pKEY.AKEY.get_it", ""), ("lib.pKEY.CKEY.get_it", ""), ("lib.pKEY.DKEY.run", "lib.pKEY.CKEY.get_it"), ("lib.pKEY.BKEY.run", "lib.pKEY.AKEY.get_it")))
+def q59_linear_order(spark, sf_dir):
+    """A diamond of classes: the second parent comes before the ancestor that both share."""
+    return _resolved(_sources(spark, sf_dir, "class AKEY:\n    def get_it(self):\n        pass\n\nclass BKEY(AKEY):\n    def run(self):\n        self.get_it()\n\nclass CKEY(AKEY):\n    def get_it(self):\n        pass\n\nclass DKEY(BKEY, CKEY):\n    def run(self):\n        self.get_it()\n"))
+
+
+@query(f"""WITH {_CALLS}, n AS (SELECT p_partkey AS id, p_partkey % 97 AS community FROM part), own AS (SELECT DISTINCT c.src, c.dst FROM calls c JOIN n a ON a.id = c.src JOIN n b ON b.id = c.dst WHERE a.community = b.community),
+    f AS (SELECT n.community, n.id, (SELECT count(*) FROM own WHERE src = n.id) AS out_degree FROM n WHERE n.id NOT IN (SELECT dst FROM own)), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY out_degree DESC, id) AS rank FROM f)
+    SELECT community, rank, id, out_degree FROM r WHERE rank <= 5""")
+def q60_module_entries(spark, sf_dir):
+    n = nodes_table(spark, sf_dir)
+    return graph.module_entries(n.select("id", (F.col("id") % 97).alias("community")), n, calls_table(spark, sf_dir))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || p_size END AS name FROM part")
+def q61_superclass_name(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(" [list[T]]"))).otherwise(F.concat(F.lit(" "), "p_brand", size))
+    return table(spark, sf_dir, "part").select("p_partkey", names.superclass_name(text).alias("name"))
