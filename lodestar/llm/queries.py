@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, jaccard, language, pii, pitman_yor, quality, suffix_dedup, token_counts, urls
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,5 +70,3 @@ QUERIES: dict[str, Query] = {
         op10_lm_scoring,
     )
 }
-#: None of the ten can be put in SQL as a whole (compressors, tokenizers, trained models); the tests hold them against brute force.
-ORACLES: dict[str, str] = {}
