@@ -55,20 +55,22 @@ class Snapshots:
 
 
 def apply_batch(snapshots: Snapshots, changes: DataFrame, batch: int) -> int:
-    """Applies files(path, content, hash, error) of a micro-batch; gives how many paths changed. The last row of a path counts.
+    """Applies files(path, content, hash, error) of a micro-batch; gives how many paths changed.
 
-    A file that cannot be read keeps its old rows; one whose hash is known is skipped.
+    The last row of a path counts, by partition and place in it. A file that cannot be read keeps its old rows; one whose
+    hash is known is skipped.
     """
     now = snapshots.current()
     if now and now["batch"] >= batch:
         return 0
     old = snapshots.read()
-    gone = changes.where("error = 'deleted'").select("path").distinct()
-    new = changes.where("error IS NULL").dropDuplicates(["path", "hash"])
+    said = changes.where("error IS NULL OR error = 'deleted'").withColumn("_at", F.monotonically_increasing_id())
+    last = said.groupBy("path").agg(F.max_by(F.struct("content", "hash", "error"), "_at").alias("r")).select("path", "r.*").persist()
+    gone = last.where("error = 'deleted'").select("path")
+    new = last.where("error IS NULL")
     if old is not None:
         new = new.join(old.select("path", "hash").distinct(), ["path", "hash"], "left_anti")
-    new = new.persist()
-    rows = parsed(new).join(new.select("path", "hash").distinct(), "path")
+    rows = parsed(new).join(new.select("path", "hash"), "path")
     n = new.count() + gone.count()
     if old is None:
         out = rows
@@ -76,7 +78,7 @@ def apply_batch(snapshots: Snapshots, changes: DataFrame, batch: int) -> int:
         out = incremental.apply_changes(old, rows.select(*old.columns), new.select("path").unionByName(gone))
     if n or old is None:
         snapshots.write(out, batch)
-    new.unpersist()
+    last.unpersist()
     return n
 
 

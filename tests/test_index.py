@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import embedding, incremental, symbols
 from lodestar.plans.facade import Index
 from lodestar.sources import pyrepo
-from lodestar.streaming.changes import Snapshots, debounced_stream, follow
+from lodestar.streaming.changes import Snapshots, apply_batch, debounced_stream, follow
 
 FILES = {
     "pkg/__init__.py": "from .a import load as read\n",
@@ -133,6 +133,19 @@ def test_stream_follows_the_tree(spark, tmp_path):
     assert step() == ["one", "three"] and snaps.current()["version"] == version
 
 
+def test_last_row_of_a_path_counts(spark, tmp_path):
+    snaps = Snapshots(spark, str(tmp_path / "snaps"))
+    ddl = "path string, content string, hash string, error string"
+    put = lambda *rows: spark.createDataFrame(list(rows), ddl).coalesce(1)
+    found = lambda: sorted((r["path"], f["name"]) for r in snaps.read().collect() for f in r["functions"])
+    assert apply_batch(snaps, put(("a.py", "def one(): pass", "1", None), ("a.py", "def two(): pass", "2", None), ("b.py", "def b(): pass", "3", None)), 0) == 2
+    assert found() == [("a.py", "two"), ("b.py", "b")]
+    assert apply_batch(snaps, put(("b.py", None, None, "deleted"), ("b.py", "def c(): pass", "4", None), ("a.py", "def x(): pass", "5", None), ("a.py", None, None, "deleted")), 1) == 2
+    assert found() == [("b.py", "c")]
+    assert apply_batch(snaps, put(("b.py", None, None, "not UTF-8")), 2) == 0
+    assert found() == [("b.py", "c")]
+
+
 def test_debounced_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     ddl = "repository string, path string, change string, ts timestamp"
