@@ -82,7 +82,7 @@ def grams(chars: Column, sizes: Sequence[int], dims: int) -> Column:
 def _features(df: DataFrame, model: Model) -> DataFrame:
     """Adds grams; every digit counts as 0. The host's ends are marked."""
     text = F.translate(F.concat(F.lit("^"), F.col("host"), F.lit("$"), F.col("path")), "123456789", "000000000")
-    chars = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.filter(F.split(text, ""), lambda c: c != ""))
+    chars = F.when((F.col("host") == "") & (F.col("path") == ""), F.array().cast("array<string>")).otherwise(F.filter(F.split(text, ""), lambda c: c != ""))
     return df.withColumn("_chars", chars).withColumn("_grams", grams(F.col("_chars"), model.sizes, model.dims)).drop("_chars")
 
 

@@ -178,6 +178,14 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_path_without_host(spark):
+    """A url without host is judged by its path; only one without both is left to the bias."""
+    made = [(1, "file:///casino/poker/x"), (2, "file:///museum/library/x"), (3, None), (4, "no scheme")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(made, "page_id long, url string")).collect()}
+    assert got[1]["host"] == "" and got[1]["path"] == "/casino/poker/x" and got[1]["score"] > got[2]["score"]
+    assert got[3]["score"] == got[4]["score"] and got[3]["path"] == got[4]["path"] == ""
+
+
 def test_url_model_generalises(spark):
     made = [(k, f"http://{h}.test.com/p/{k}", y) for k, (h, y) in enumerate([("super-casino", 1), ("mega-pills", 1), ("pokerbets", 1), ("city-museum", 0), ("weather-journal", 0), ("school-library", 0)])]
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(made, "page_id long, url string, y int")).collect()}
