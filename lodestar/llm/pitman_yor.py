@@ -7,7 +7,8 @@ child's tables are the parent's customers.  Scores are the predictive probabilit
 
 Contexts are dealt to blocks by hash; contexts that hold a noticeable share of all tokens (a bounded list, found by a
 mergeable summary of all words) are dealt by (context, word), and their totals are summed over the blocks.  Pairs that
-hold such a share themselves are scored where their tokens lie, by a list of the same bound.  One pass over the whole
+hold such a share themselves are scored where their tokens lie, by a list of the same bound, from tables averaged over the
+sampled seatings of the first pass.  One pass over the whole
 corpus sends the counted pairs to the blocks, which seat them and tell the word blocks their tables; those seat the
 parent and answer with its state for just the words asked about.  A second pass sends the tokens of all documents to
 the blocks, which seat the restaurants again under the parent, and add up each document's log probabilities.
@@ -244,7 +245,11 @@ def _rng(s: Settings, u: np.ndarray, w: np.ndarray) -> np.random.Generator:
 
 
 def _first_seating(blocks: int, hot: np.ndarray, least: int, s: Settings):
-    """Seats a block's counted pairs under the block's own word shares and tells the word blocks the tables."""
+    """Seats a block's counted pairs under the block's own word shares and tells the word blocks the tables.
+
+    The parent gets the last seating; totals of hot contexts and frequent pairs go on as averages over the sampled ones. A
+    probability is linear in its tables, so that of average tables is the average.
+    """
     def work(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(p) for p in payloads]
         u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
@@ -259,15 +264,18 @@ def _first_seating(blocks: int, hot: np.ndarray, least: int, s: Settings):
         d = discount(float((n == 1).sum()), float((n == 2).sum()))
         rng = _rng(s, u, w)
         t = (n > 0).astype(np.float64)
-        for _ in range(s.burn + 1):
+        mean = np.zeros(len(n))
+        for sweep in range(s.burn + s.samples):
             t = seat(n, t, np.add.reduceat(t, begin)[who], p, d, s.strength, rng)
+            if sweep >= s.burn:
+                mean += t / s.samples
         tables = np.bincount(at, t, len(words)).astype(np.int64)
         taught = np.add.reduceat(n, begin)
         single = ~np.isin(u[begin], hot) if len(hot) else np.ones(len(begin), bool)
         real = single & (u[begin] != BEGIN) & (taught > 0)
         loose = ~single
         often = np.flatnonzero(n > least)  # pairs with a share of all tokens that no block should have to itself
-        stats = pack(np.array([1], np.int64), np.array([n.sum(), real.sum(), (n == 1).sum(), (n == 2).sum()], np.int64), u[begin][loose], taught[loose].astype(np.int64), np.add.reduceat(t, begin)[loose].astype(np.int64), u[often], w[often], n[often], t[often])
+        stats = pack(np.array([1], np.int64), np.array([n.sum(), real.sum(), (n == 1).sum(), (n == 2).sum()], np.int64), u[begin][loose], taught[loose].astype(np.int64), np.add.reduceat(mean, begin)[loose], u[often], w[often], n[often], mean[often])
         order, found, first = split_by((mix(words) % np.uint64(blocks)).astype(np.int64))
 
         def out():

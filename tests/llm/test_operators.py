@@ -397,15 +397,20 @@ def test_lm(docs, empty, spark, small):
 
 
 def test_lm_is_a_distribution(spark):
-    """The probabilities of all one-word texts after the start, the empty one and the unknown add up to one."""
-    learn = [(1, "a b a c"), (3, "a a b"), (4, "c a")]
-    learn = [(i, t) for i, t in learn if zlib.crc32(str(i).encode()) % 7 != 2]
-    probe = next(i for i in range(100, 999) if zlib.crc32(str(i).encode()) % 7 == 2)
-    held = [i for i in range(100, 1999) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
-    assert probe in held
-    made = learn + list(zip(held, ["", "a", "b", "c", "unknown"], strict=True))
-    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(made, "doc_id long, text string")).collect()}
-    assert all(v < 0 for v in got.values()) and 0 < 10 ** got[held[0]] < 1
+    """The probabilities of all texts of known words and one unknown add up to one, told from those of up to two words."""
+    taught = [i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 7 != 2]
+    made = list(zip(taught, ["a b a c", "a a b", "c a", "b", "", "a b"], strict=False))
+    words = ["a", "b", "c", "unknown"]
+    texts = ["", *words, *(f"{x} {y}" for x in words for y in words)]
+    held = [i for i in range(100, 1999) if zlib.crc32(str(i).encode()) % 7 == 2]
+    made += zip(held, texts, strict=False)
+    got = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.score(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    p = dict(zip(texts, (got[i] for i in held[: len(texts)]), strict=True))
+    one = np.array([p[x] for x in words])
+    # A text's probability is the product of its steps; each word's step is weighed by the word's chance to end there.
+    step = np.array([[p[f"{x} {y}"] / p[x] for y in words] for x in words])
+    assert all(0 < v < 1 for v in p.values())
+    assert abs(p[""] + one @ np.linalg.solve(np.eye(4) - step, np.ones(4)) - 1) < 1e-4
 
 
 def test_seating_mean():
