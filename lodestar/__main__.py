@@ -1,4 +1,4 @@
-"""python -m lodestar setup|search|search-tree|expand|lookup|overview|stats INDEX ..."""
+"""python -m lodestar setup|watch|search|search-tree|expand|lookup|overview|stats INDEX ..."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from .plans.facade import Index
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="lodestar", description=__doc__)
-    p.add_argument("command", choices=["setup", "search", "search-tree", "expand", "lookup", "overview", "stats"])
+    p.add_argument("command", choices=["setup", "watch", "search", "search-tree", "expand", "lookup", "overview", "stats"])
     p.add_argument("index", help="folder of the index tables")
     p.add_argument("words", nargs="*", help="repository, query, id or names")
     p.add_argument("--path", help="part of a path, for lookup")
@@ -21,6 +21,8 @@ def main(argv: list[str] | None = None) -> None:
     index, words = Index(spark, a.index), " ".join(a.words)
     if a.command == "setup":
         index.build(a.words[0]).stats().show(truncate=False)
+    elif a.command == "watch":
+        index.build(a.words[0]).watch(a.words[0], f"{index.root}/watch").awaitTermination()
     elif a.command in ("search", "search-tree"):
         print(index.search_tree(words, a.command == "search-tree", not a.tests))
     elif a.command == "expand":

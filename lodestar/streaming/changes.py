@@ -8,6 +8,7 @@ and one that comes again after a failure changes nothing.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +40,22 @@ class Snapshots:
         now = self.current()
         return self.spark.read.parquet(now["path"]) if now else None
 
-    def write(self, df: DataFrame, batch: int) -> None:
+    def write(self, df: DataFrame, batch: int, stream: str = "") -> None:
+        """One table as the next snapshot."""
+        path = self.begin(batch)
+        df.write.mode("overwrite").parquet(path)
+        self.finish(path, batch, stream)
+
+    def begin(self, batch: int) -> str:
+        """The folder of the next snapshot; nobody reads it before finish()."""
+        now = self.current()
+        return f"{self.root}/v{now['version'] + 1 if now else 0}-{batch}"
+
+    def finish(self, path: str, batch: int, stream: str = "") -> None:
+        """Points readers at a folder that is written, and removes the one before the last: a reader has one version's time."""
         now = self.current()
         version = (now["version"] + 1) if now else 0
-        path = f"{self.root}/v{version}-{batch}"
-        df.write.mode("overwrite").parquet(path)
-        text = json.dumps({"version": version, "batch": batch, "path": path})
+        text = json.dumps({"version": version, "batch": batch, "stream": stream, "path": path, "before": now["path"] if now else None})
         # Written aside, then renamed: a pointer is there as a whole or not at all.
         aside, final = self._path(f"{self.root}/_aside-{version}-{batch}"), self._path(f"{self.root}/pointers/{version}.json")
         self._fs.mkdirs(self._path(f"{self.root}/pointers"))
@@ -52,16 +63,19 @@ class Snapshots:
         out.write(bytearray(text.encode()))
         out.close()
         self._fs.rename(aside, final)
+        if now and now.get("before") and now["before"] not in (path, now["path"]):
+            self._fs.delete(self._path(now["before"]), True)
 
 
-def apply_batch(snapshots: Snapshots, changes: DataFrame, batch: int) -> int:
+def apply_batch(snapshots: Snapshots, changes: DataFrame, batch: int, stream: str = "") -> int:
     """Applies files(path, content, hash, error) of a micro-batch; gives how many paths changed.
 
     The last row of a path counts, by partition and place in it. A file that cannot be read keeps its old rows; one whose
-    hash is known is skipped.
+    hash is known is skipped. Batches are numbered within their stream. Of package files the content is kept, since their
+    re-exports are read from it.
     """
     now = snapshots.current()
-    if now and now["batch"] >= batch:
+    if now and now.get("stream", "") == stream and now["batch"] >= batch:
         return 0
     old = snapshots.read()
     said = changes.where("error IS NULL OR error = 'deleted'").withColumn("_at", F.monotonically_increasing_id())
@@ -70,25 +84,30 @@ def apply_batch(snapshots: Snapshots, changes: DataFrame, batch: int) -> int:
     new = last.where("error IS NULL")
     if old is not None:
         new = new.join(old.select("path", "hash").distinct(), ["path", "hash"], "left_anti")
-    rows = parsed(new).join(new.select("path", "hash"), "path")
+    package = F.when(F.col("path").rlike(r"(^|/)__init__\.py$"), F.col("content")).alias("content")
+    rows = parsed(new).join(new.select("path", "hash", package), "path")
     n = new.count() + gone.count()
     if old is None:
         out = rows
     else:
         out = incremental.apply_changes(old, rows.select(*old.columns), new.select("path").unionByName(gone))
     if n or old is None:
-        snapshots.write(out, batch)
+        snapshots.write(out, batch, stream)
     last.unpersist()
     return n
 
 
-def follow(spark: SparkSession, repository: str, snapshots: Snapshots, checkpoint: str, interval: str = "1 second", once: bool = False):
-    """Starts the stream of a repository's changes into snapshots; once: what has changed by now, then stop."""
+def follow(spark: SparkSession, repository: str, snapshots: Snapshots, checkpoint: str, interval: str = "1 second", once: bool = False, apply: Callable[[DataFrame, int], object] | None = None):
+    """Starts the stream of a repository's changes into snapshots (or into apply); once: what has changed by now, then stop.
+
+    All changes between two triggers are one micro-batch: a burst shorter than the interval is applied once or twice.
+    """
     from ..sources import pyrepo
 
     pyrepo.register(spark)
+    each = apply or (lambda df, batch: apply_batch(snapshots, df, batch))
     stream = spark.readStream.format("pyrepo").load(repository)
-    writer = stream.writeStream.foreachBatch(lambda df, batch: apply_batch(snapshots, df, batch) and None).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, batch: each(df, batch) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 

@@ -133,6 +133,50 @@ def test_stream_follows_the_tree(spark, tmp_path):
     assert step() == ["one", "three"] and snaps.current()["version"] == version
 
 
+def test_index_follows_the_tree(spark, tmp_path):
+    """A change of one file reaches search, calls into it from other files, and vectors; the rest isn't embedded again."""
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("def load(path):\n    return path\n")
+    (root / "b.py").write_text("from a import load\n\ndef use():\n    load(1)\n")
+    asked = str(tmp_path / "asked")
+
+    class Told(embedding.HashEmbedder):
+        def __call__(self, texts):
+            with open(asked, "a") as f:
+                f.write("x" * len(texts))
+            return super().__call__(texts)
+
+    def told():
+        n = os.path.getsize(asked) if os.path.exists(asked) else 0
+        open(asked, "w").close()
+        return n
+
+    index = Index(spark, str(tmp_path / "index"), Told()).build(str(root))
+    calls = lambda: {r["id"]: r["calls"] for r in index.functions().collect()}
+    assert calls() == {"a.load": [], "b.use": ["a.load"]} and told() == 2
+
+    def step():
+        q = index.watch(str(root), str(tmp_path / "check"))
+        q.processAllAvailable()
+        q.stop()
+
+    step()
+    assert told() == 0 and index.tables.current()["version"] == 0
+    (root / "a.py").write_text("def load(path):\n    return path\n\ndef sort_numbers(values):\n    return load(values)\n")
+    step()
+    assert calls() == {"a.load": [], "a.sort_numbers": ["a.load"], "b.use": ["a.load"]} and told() == 1
+    assert "a.sort_numbers" in index.search_tree("sort numbers")
+    # What happened while nobody watched is caught up with by the hashes on record.
+    (root / "b.py").unlink()
+    (root / "c.py").write_text("def other(): pass\n")
+    index.build(str(root))
+    assert set(calls()) == {"a.load", "a.sort_numbers", "c.other"} == {r["id"] for r in index.table("vectors").collect()}
+    version = index.tables.current()["version"]
+    assert index.build(str(root)).tables.current()["version"] == version
+    assert not os.path.exists(str(tmp_path / "index" / "tables" / "v0-0"))
+
+
 def test_last_row_of_a_path_counts(spark, tmp_path):
     snaps = Snapshots(spark, str(tmp_path / "snaps"))
     ddl = "path string, content string, hash string, error string"
