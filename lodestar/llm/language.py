@@ -6,8 +6,9 @@ rows in the cluster; only (languages x buckets) sums come to the driver.  A text
 the language with the least weighted logistic loss; a small gap to the second flags the text as ambiguous.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no training row every text is
-``und``; with one language all others are that one with score 1; equal texts get equal results; nulls in lang don't
-teach; other columns are ignored.
+``und``; with one language all others are that one with score 1; equal texts get equal results; languages that
+nothing tells apart tie: the least name is taken and flagged ambiguous; nulls in lang don't teach; a text of any length is
+counted whole, in stretches; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def model_of(languages: list[str], histograms: np.ndarray) -> Model:
         odds.append(w)
         power.append(((one - zero) * w).sum())  # how far apart the bit's sides are
     power = np.array(power)
-    return Model(languages, codes, power / power.mean() if len(power) else power, np.array(odds) if odds else np.zeros((0, DIMS)))
+    return Model(languages, codes, power / power.mean() if power.sum() > 0 else np.ones(len(power)), np.array(odds) if odds else np.zeros((0, DIMS)))
 
 
 def decode(m: Model, text: str | None) -> tuple[str, float, bool]:

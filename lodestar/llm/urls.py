@@ -6,7 +6,8 @@ literal of the scoring expression.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, and is judged by the model on
 its n-grams, of which it has none, so by the bias; long urls take time in proportion to their length; equal urls get
-equal results; other columns are ignored.
+equal results, repeated rows one each; a score equal to the threshold blocks; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -526,3 +526,19 @@ def test_token_split_beyond_ascii():
         assert "".join(parts) == x and len(parts) > 3
         assert sum(len(t.encode(p, add_special_tokens=False)) for p in parts) == len(t.encode(x, add_special_tokens=False))
     assert [len("".join(c).encode()) <= 40 or len(c) == 1 for c in token_counts.balanced(["é" * 15] * 5, 40)] == [True] * 5
+
+
+def test_urls_repeated_rows_and_clashing_columns(spark):
+    names = ("host", "path", "rule", "verdict", "score", "_grams", "weights")
+    made = [(1, "http://a.com/en/1"), (1, "http://a.com/en/1"), (2, "http://a.com/en/1"), (None, "http://b.fr/x"), (None, None)]
+    plain = spark.createDataFrame(made, "page_id long, url string")
+    rows = sorted(map(tuple, urls.judge(plain).collect()), key=repr)
+    assert sorted(map(tuple, urls.judge(plain.selectExpr("*", *(f"'x' AS {c}" for c in names))).collect()), key=repr) == rows
+    assert len(rows) == 5 and len({r[1:] for r in rows if r[0]}) == 1
+
+
+def test_language_ties():
+    """Languages with the same histogram can't be told apart: the least name, flagged, with a share of the score."""
+    h = language.histogram("some words that both have")
+    name, score, ambiguous = language.decode(language.model_of(["aa", "bb"], np.stack((h, h)).astype(float)), "some words")
+    assert (name, ambiguous) == ("aa", True) and score == pytest.approx(0.5)
