@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as names
 from ..operators import embedding, graph, incremental, parse, render, resolve, retrieval, symbols
+from ..operators.lineage import cut
 from ..sources import ignore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,11 +547,7 @@ def q43_parse(spark, sf_dir):
     UNION ALL SELECT 'lib.p' || p_partkey || '.K' || p_partkey || '.__init__', 'lib.p' || p_partkey || '.g' || p_partkey FROM part""")
 def q44_resolve(spark, sf_dir):
     files = _sources(spark, sf_dir, "def fKEY(a):\n    gKEY()\n    a.b.only_KEY()\n    KKEY()\n\ndef gKEY():\n    pass\n\nclass KKEY:\n    def __init__(self):\n        gKEY()\n    def only_KEY(self):\n        self.__init__()\n")
-    rows = parse.parsed(files)
-    none = spark.createDataFrame([], "export_key string, real_path string")
-    sub = symbols.sub_paths(files.select(names.module_of(F.col("path")).alias("module")))
-    done = resolve.resolved(parse.functions_of(rows), parse.classes_of(rows), parse.known_imports(parse.imports_of(rows), sub), none)
-    return done.select("id", F.array_join("calls", ",").alias("calls"))
+    return _resolved(files)
 
 
 @query("""SELECT 'pkg' || p_partkey || '.b' || p_size AS export_key, 'pkg' || p_partkey || '.m' || p_size || '.a' AS real_path FROM part UNION ALL SELECT 'pkg' || p_partkey || '.c', 'pkg' || p_partkey || '.m' || p_size || '.c' FROM part""")
@@ -589,12 +586,18 @@ def q50_rerank(spark, sf_dir):
     return embedding.reranked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")), QUERY)
 
 
+#: Fixed value: files that one task parses.
+FILES_A_TASK = 4_000
+
+
 def _resolved(files: DataFrame, exports: DataFrame | None = None) -> DataFrame:
     """id, calls of the functions in files(path, content)."""
-    rows = parse.parsed(files)
+    # A small table makes many files: they are dealt out, parsed once, and read from a stored table.
+    tasks = -(-files.count() // FILES_A_TASK)
+    rows = cut(parse.parsed(files.repartition(max(1, tasks), "path")))
     none = files.sparkSession.createDataFrame([], "export_key string, real_path string")
     sub = symbols.sub_paths(files.select(names.module_of(F.col("path")).alias("module")))
-    done = resolve.resolved(parse.functions_of(rows), parse.classes_of(rows), parse.known_imports(parse.imports_of(rows), sub), exports if exports is not None else none)
+    done = resolve.resolved_calls(parse.bare_functions_of(rows), parse.classes_of(rows), parse.known_imports(parse.imports_of(rows), sub), exports if exports is not None else none)
     return done.select("id", F.array_join("calls", ",").alias("calls"))
 
 
