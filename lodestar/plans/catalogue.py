@@ -592,12 +592,9 @@ FILES_A_TASK = 4_000
 
 def _resolved(files: DataFrame, exports: DataFrame | None = None) -> DataFrame:
     """id, calls of the functions in files(path, content)."""
-    # A small table makes many files: they are dealt out, parsed once, and read from a stored table.
+    # A small table makes many files: they are dealt out, and parsed once.
     tasks = -(-files.count() // FILES_A_TASK)
-    rows = cut(parse.parsed(files.repartition(max(1, tasks), "path")))
-    none = files.sparkSession.createDataFrame([], "export_key string, real_path string")
-    sub = symbols.sub_paths(files.select(names.module_of(F.col("path")).alias("module")))
-    done = resolve.resolved_calls(parse.bare_functions_of(rows), parse.classes_of(rows), parse.known_imports(parse.imports_of(rows), sub), exports if exports is not None else none)
+    done = resolve.calls_of_files(files.repartition(max(1, tasks), "path"), exports)
     return done.select("id", F.array_join("calls", ",").alias("calls"))
 
 
