@@ -12,6 +12,7 @@ from lodestar.plans import catalogue
 #: Queries of which each file tells all that its calls need.
 QUERIES = [
     "q59_linear_order",
+    "q57_variables",
 ]
 
 
