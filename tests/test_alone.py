@@ -13,6 +13,7 @@ from lodestar.plans import catalogue
 QUERIES = [
     "q59_linear_order",
     "q57_variables",
+    "q44_resolve",
 ]
 
 
