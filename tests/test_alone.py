@@ -109,3 +109,19 @@ def test_marks():
     done = resolve.alone("m.py", r["functions"], r["classes"], r["imports"])
     assert set(dict(done["calls"])["m.A.f"]) == {"m.A.g"} and not done["left"]
     assert {"bmm.A", "bmm", "bnA", "dnk", "rnelsewhere"} <= set(done["marks"])
+
+
+def test_only_users_of_imports_are_left(spark, small, monkeypatch):
+    """q58_imported_calls: of each four functions only the one that calls through imports goes through the buckets."""
+    whole, left = resolve._in_buckets, []
+
+    def counted(functions, *more):
+        left.append((functions.where("todo").count(), functions.count()))
+        return whole(functions, *more)
+
+    monkeypatch.setattr(resolve, "_in_buckets", counted)
+    got = sorted(tuple(r) for r in catalogue.q58_imported_calls(spark, small).select("id", "calls").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{small}/part.parquet'")
+    assert got == sorted(con.execute(f"SELECT id, calls FROM ({catalogue.ORACLES['q58_imported_calls']})").fetchall())
+    assert left == [(len(got) // 4, len(got))]
