@@ -14,6 +14,7 @@ QUERIES = [
     "q59_linear_order",
     "q57_variables",
     "q44_resolve",
+    "q55_super",
 ]
 
 
