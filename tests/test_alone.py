@@ -126,3 +126,27 @@ def test_only_users_of_imports_are_left(spark, small, monkeypatch):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{small}/part.parquet'")
     assert got == sorted(con.execute(f"SELECT id, calls FROM ({catalogue.ORACLES['q58_imported_calls']})").fetchall())
     assert left == [(len(got) // 4, len(got))]
+
+
+LOOPS = {
+    "c/loops.py": "def each():\n    for x in unknown():\n        x.go()\n    for y in made():\n        y.only_far()\n    z = a().b()\n    z.go()\n",
+    "c/far.py": "class Far:\n    def only_far(self): pass\ndef plain(v):\n    for w in v: w.only_far()\n",
+}
+
+
+def test_variables_of_no_known_class():
+    """Items of a call without an annotated result are of no class: neither a file alone nor a bucket asks for one."""
+    rows = [parse(p, t) for p, t in LOOPS.items()]
+    done = resolve.alone("c/loops.py", rows[0]["functions"], [], [])
+    assert dict(done["calls"]) == {"c.loops.each": []} and not done["left"]
+    part = resolve.Part(rows[0]["functions"], [], {})
+    assert part.tried(rows[0]["functions"][0]) is None and all(key is not None for _, key in part.missing)
+
+
+def test_loops_in_buckets(spark):
+    rows = [parse(p, t) for p, t in LOOPS.items()]
+    fs = [f for r in rows for f in r["functions"]]
+    done = resolve.Program(fs, [c for r in rows for c in r["classes"]], [], {}).all_calls()
+    table = spark.createDataFrame(list(LOOPS.items()), "path string, content string")
+    got = {r["id"]: r["calls"] for r in resolve.calls_of_files(table, one_task=1).collect()}
+    assert got == {f["id"]: done[k] for k, f in enumerate(fs)}

@@ -1,9 +1,13 @@
 """The parser on every form of call, import, parameter and variable that it knows."""
 
+import ast
+import gc
+from collections import Counter
 from textwrap import dedent
 
 import pytest
 
+from lodestar.operators import parse as parsing
 from lodestar.operators.parse import parse
 
 
@@ -127,3 +131,31 @@ def test_broken_file():
     assert r["error"] and {f["name"] for f in r["functions"]} == {"good", "m"}
     assert {f["name"]: f["start_line"] for f in r["functions"]}["m"] == 8
     assert parse("a.py", "")["functions"] == []
+
+
+def test_a_body_is_walked_once(monkeypatch):
+    """Variables, calls and references come from one walk; definitions don't go into expressions."""
+    asked, whole = [], parsing.children
+    monkeypatch.setattr(parsing, "children", lambda node: asked.append(node) or whole(node))
+    f = functions("def f(self, p):\n    v = [g(x + 1) for x in p]\n    if v and p:\n        return self.done, -p[0]\n")["f"]
+    assert f["calls"] == ["g", "self.done"] and not f["var_types"]
+    assert any(isinstance(n, ast.BinOp) for n in asked) and max(Counter(map(id, asked)).values()) == 1
+
+
+def test_no_search_for_cycles_meanwhile(monkeypatch):
+    """The collector rests while a file is parsed, and not after it, whatever the file is."""
+    seen, whole = [], parsing._definitions
+    monkeypatch.setattr(parsing, "_definitions", lambda *a: seen.append(gc.isenabled()) or whole(*a))
+    assert gc.isenabled()
+    parse("m.py", "def f():\n    g()\n")
+    parse("m.py", "def f():\n    g()\n\ndef bad(:\n")
+    with pytest.raises(TypeError):
+        parse("m.py", None)
+    assert seen and not any(seen) and gc.isenabled()
+
+
+def test_a_parsed_body_leaves_no_cycle():
+    """Trees go as soon as their file is done: a body's walk doesn't keep them."""
+    gc.collect()
+    parse("m.py", "class A:\n    def f(self):\n        for x in self.g(1): x.h(self.k)\n")
+    assert not any(isinstance(o, ast.Module) for o in gc.get_objects())
