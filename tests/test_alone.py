@@ -1,5 +1,6 @@
 """Files resolved as if each were alone, with the rest in buckets: against the whole program in one task, and against SQL."""
 
+import gc
 from textwrap import dedent
 
 import duckdb
@@ -150,3 +151,15 @@ def test_loops_in_buckets(spark):
     table = spark.createDataFrame(list(LOOPS.items()), "path string, content string")
     got = {r["id"]: r["calls"] for r in resolve.calls_of_files(table, one_task=1).collect()}
     assert got == {f["id"]: done[k] for k, f in enumerate(fs)}
+
+
+def test_facts_of_a_file_go_at_once():
+    """Thousands of files pass through a task: what one was resolved by doesn't wait for the search for cycles."""
+    r = parse("m.py", "class A:\n    def f(self): self.g()\n    def g(self): pass\n")
+    gc.collect()
+    gc.disable()
+    try:
+        resolve.alone("m.py", r["functions"], r["classes"], r["imports"])
+        assert not any(isinstance(o, resolve.Alone) for o in gc.get_objects())
+    finally:
+        gc.enable()
