@@ -163,3 +163,12 @@ def test_facts_of_a_file_go_at_once():
         assert not any(isinstance(o, resolve.Alone) for o in gc.get_objects())
     finally:
         gc.enable()
+
+
+def test_super_without_search_for_cycles(monkeypatch):
+    """A file with a parent's method and its override is resolved while the collector rests."""
+    seen, whole = [], resolve.Alone.of_super
+    monkeypatch.setattr(resolve.Alone, "of_super", lambda *a: seen.append(gc.isenabled()) or whole(*a))
+    r = parse("m.py", "class A:\n    def go(self): self.it()\n    def it(self): pass\nclass B(A):\n    def go(self): super().go()\n    def it(self): pass\n")
+    done = resolve.alone("m.py", r["functions"], r["classes"], r["imports"])
+    assert dict(done["calls"])["m.B.go"] == ["m.A.go", "m.B.it"] and seen == [False] and gc.isenabled()
