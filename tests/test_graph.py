@@ -65,6 +65,19 @@ def test_preorder_on_random_graphs(spark):
         assert got == want
 
 
+def test_groups_of_hits_are_found_at_once(spark, monkeypatch):
+    """A long chain of hits takes no rounds of joins, and these, for more links than a task's, name the same groups."""
+    rows = results(spark, " ".join(f"n{i:02}" for i in range(40)) + " z")
+    calls = edges(spark, ";".join(f"n{i + 1:02}>n{i:02}" for i in range(39) if i != 20) + ";z>z gone")
+    stored = []
+    monkeypatch.setattr(graph, "cut", lambda table, cut=graph.cut: stored.append(table.columns) or cut(table))
+    got = {r["id"]: r["group"] for r in graph.groups_of(rows, calls).collect()}
+    assert got == {f"n{i:02}": "n00" if i <= 20 else "n21" for i in range(40)} | {"z": "z"}
+    assert len(stored) == 2
+    monkeypatch.setattr(graph, "ONE_TASK_PAIRS", 0)
+    assert {r["id"]: r["group"] for r in graph.groups_of(rows, calls).collect()} == got
+
+
 def test_weights_and_degrees(spark):
     nodes = spark.createDataFrame([("a", "f", "C", 0.5, False), ("b", "f", "C", 0.5, False), ("c", "f", None, 0.5, False), ("d", "g", None, 0.5, False)], NODES)
     calls = graph.known_calls(edges(spark, "a>b c d gone;b>c c"), nodes)
